@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+# Money is added up in units of 0.0001 as whole numbers: the result is exact and the
+# same on every run, in whatever order the rows arrive. Each amount goes into a high
+# and a low sum, so that a group of 10**12 rows does not overflow a long.
+UNITS = 10_000
+LOW_BITS = 20
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum of money in decimals: the same on every run, whatever order rows arrive in."""
-    return F.sum(value.cast(MONEY))
+def money_sums(column: str) -> dict[str, Column]:
+    units = F.floor(F.col(column) * UNITS + 0.5)
+    return {
+        f"_high_{column}": F.sum(F.shiftright(units, LOW_BITS)),
+        f"_low_{column}": F.sum(units.bitwiseAND(F.lit(2**LOW_BITS - 1))),
+        f"_cnt_{column}": F.count(column),
+    }
+
+
+def money_mean(column: str) -> Column:
+    """The mean from the parts of :func:`money_sums`; no amount at all gives NULL."""
+    high, low = (F.col(f"_{part}_{column}").cast("decimal(25,0)") for part in ("high", "low"))
+    total = (high * F.lit(Decimal(2**LOW_BITS)) + low) * F.lit(Decimal(1) / UNITS)
+    return F.when(F.col(f"_cnt_{column}") > 0, total.cast("double") / F.col(f"_cnt_{column}"))
+
+
+def mean_money_by_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    sums = {name: part for c in columns for name, part in money_sums(c).items()}
+    grouped = df.groupBy(key).agg(*[part.alias(name) for name, part in sums.items()])
+    return grouped.select(key, *[money_mean(c).alias(c) for c in columns])
 
 
 def mode_by_key(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -40,16 +62,14 @@ def profile_by_key(
     if not modes:
         raise ValueError("at least one mode column is needed")
     flags = {c: f"_is_{c}" for c in modes}
-    first = modes[0]
+    sums = {name: part for c in means for name, part in money_sums(c).items()}
     counted = (
         df.filter(F.col(key).isNotNull())
-        .select(key, *modes, *[F.col(c).cast(MONEY).alias(f"_v_{c}") for c in means])
         .groupingSets([[key, c] for c in modes], key, *modes)
         .agg(
             F.count("*").alias("_n"),
             *[(F.grouping(c) == 0).alias(flag) for c, flag in flags.items()],
-            *[F.sum(f"_v_{c}").alias(f"_sum_{c}") for c in means],
-            *[F.count(f"_v_{c}").alias(f"_cnt_{c}") for c in means],
+            *[part.alias(name) for name, part in sums.items()],
         )
     )
 
@@ -57,19 +77,11 @@ def profile_by_key(
         present = F.col(flags[c]) & F.col(c).isNotNull()
         return F.min(F.when(present, F.struct(-F.col("_n"), F.col(c)))).getField(c).alias(c)
 
-    def mean_parts(c: str) -> list[Column]:
-        once = F.col(flags[first])
-        return [
-            F.sum(F.when(once, F.col(f"_sum_{c}"))).alias(f"_sum_{c}"),
-            F.sum(F.when(once, F.col(f"_cnt_{c}"))).alias(f"_cnt_{c}"),
-        ]
-
-    grouped = counted.groupBy(key).agg(*map(best, modes), *[p for c in means for p in mean_parts(c)])
-    return grouped.select(key, *modes, *[exact_mean(f"_sum_{c}", f"_cnt_{c}").alias(c) for c in means])
-
-
-def exact_mean(total: str, count: str) -> Column:
-    return F.when(F.col(count) > 0, F.col(total).cast("double") / F.col(count))
+    once = F.col(flags[modes[0]])
+    grouped = counted.groupBy(key).agg(
+        *map(best, modes), *[F.sum(F.when(once, F.col(name))).alias(name) for name in sums]
+    )
+    return grouped.select(key, *modes, *[money_mean(c).alias(c) for c in means])
 
 
 def mean_by_key(df: DataFrame, key: str, column: str) -> DataFrame:
