@@ -49,39 +49,35 @@ def mode_by_key(df: DataFrame, key: str, column: str) -> DataFrame:
     return counts.groupBy(key).agg(best.getField(column).alias(column))
 
 
-def profile_by_key(
-    df: DataFrame, key: str, modes: Sequence[str], means: Sequence[str] = ()
-) -> DataFrame:
-    """One row per key with the mode of each ``modes`` column and the mean of each ``means`` column.
-
-    Every column is profiled on its own, so a row need not match any input row.
-    All columns are counted in one pass with grouping sets (key, column); the
-    counts are combined before each of the two shuffles. Money sums ride along
-    with the first set and are added up exactly.
+def modes_by_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """:func:`mode_by_key` for several columns in one pass over the rows.
+
+    Grouping sets (key, column) count all columns together; the counts are combined
+    before each of the two shuffles. Every column is profiled on its own, so a
+    result row need not match any input row.
     """
-    if not modes:
-        raise ValueError("at least one mode column is needed")
-    flags = {c: f"_is_{c}" for c in modes}
-    sums = {name: part for c in means for name, part in money_sums(c).items()}
-    counted = (
+    flags = {c: f"_is_{c}" for c in columns}
+    counts = (
         df.filter(F.col(key).isNotNull())
-        .groupingSets([[key, c] for c in modes], key, *modes)
-        .agg(
-            F.count("*").alias("_n"),
-            *[(F.grouping(c) == 0).alias(flag) for c, flag in flags.items()],
-            *[part.alias(name) for name, part in sums.items()],
-        )
+        .groupingSets([[key, c] for c in columns], key, *columns)
+        .agg(F.count("*").alias("_n"), *[(F.grouping(c) == 0).alias(flag) for c, flag in flags.items()])
     )
 
     def best(c: str) -> Column:
         present = F.col(flags[c]) & F.col(c).isNotNull()
         return F.min(F.when(present, F.struct(-F.col("_n"), F.col(c)))).getField(c).alias(c)
 
-    once = F.col(flags[modes[0]])
-    grouped = counted.groupBy(key).agg(
-        *map(best, modes), *[F.sum(F.when(once, F.col(name))).alias(name) for name in sums]
-    )
-    return grouped.select(key, *modes, *[money_mean(c).alias(c) for c in means])
+    return counts.groupBy(key).agg(*map(best, columns))
+
+
+def profile_by_key(df: DataFrame, key: str, modes: Sequence[str], means: Sequence[str]) -> DataFrame:
+    """One row per key with the mode of some columns and the mean of others.
+
+    The two parts read different columns, so a columnar file is not read twice, and
+    both end up partitioned by key, so that joining them needs no further shuffle.
+    """
+    amounts = mean_money_by_key(df.filter(F.col(key).isNotNull()), key, means)
+    return modes_by_key(df, key, modes).join(amounts, key)
 
 
 def mean_by_key(df: DataFrame, key: str, column: str) -> DataFrame:

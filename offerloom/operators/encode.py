@@ -14,6 +14,9 @@ from offerloom.operators.ordered import running_totals
 # Level lists up to this length live in the plan; longer ones become a lookup table.
 MAX_INLINE_LEVELS = 1000
 
+# Sorted levels per column; None where there are too many to list.
+Levels = Mapping[str, list[Any] | None]
+
 
 def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[Any] | None]:
     """The sorted different values of each column, all found in one pass.
@@ -37,7 +40,7 @@ def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[Any] | N
     return {c: fit_levels(df, [c])[c] for c in columns}
 
 
-def short_levels(levels: Mapping[str, list[Any] | None], column: str) -> list[Any]:
+def short_levels(levels: Levels, column: str) -> list[Any]:
     """Levels of a column that is to become one output column per level."""
     found = levels[column]
     if found is None:
@@ -60,9 +63,7 @@ def code_table(df: DataFrame, column: str, code: str) -> DataFrame:
     return ranked.select(column, F.col("_one_before").cast("int").alias(code))
 
 
-def label_encode(
-    df: DataFrame, codes: Mapping[str, str], levels: Mapping[str, list[Any] | None] | None = None
-) -> DataFrame:
+def label_encode(df: DataFrame, codes: Mapping[str, str], levels: Levels | None = None) -> DataFrame:
     """Add a code column for each {column: code column}.
 
     Few levels: an expression, no join and no shuffle. Many: a lookup join.

@@ -122,13 +122,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, fl
             found.append(F.max(F.when(here, F.col("value"))).alias(f"_{name}_{side}"))
         found.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
     picked = ranked.groupBy("column_name").agg(*found)
+    ends = {name: [F.col(f"_{name}_{end}") for end in ("lo", "hi", "part")] for name in probabilities}
     return picked.select(
         "column_name",
-        *[
-            (
-                F.col(f"_{name}_lo") * (1 - F.col(f"_{name}_part"))
-                + F.col(f"_{name}_hi") * F.col(f"_{name}_part")
-            ).alias(name)
-            for name in probabilities
-        ],
+        *[(lo + (hi - lo) * part).alias(name) for name, (lo, hi, part) in ends.items()],
     )

@@ -81,10 +81,9 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """Rows and share of rows per value. The total is one number, computed apart."""
-    present = df.filter(F.col(column).isNotNull())
-    total = present.agg(F.count("*")).scalar()
-    counts = present.groupBy(column).agg(F.count("*").alias("n"))
+    """Rows and share of rows per value. The total is one number, added up from the counts."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select(column, "n", (F.col("n") / total).alias("share"))
 
 
@@ -142,26 +141,26 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
     """Rows per equal-width bin; the last bin takes in its upper bound, empty bins show 0."""
     values = df.select(value.cast("double").alias("value")).filter(F.col("value").isNotNull())
-    # One row: the span of the values. A single value gets a span of one around it.
-    span = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).select(
-        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.floor((F.col("value") - F.col("_lo")) / width).cast("int")
+    single = F.min("value") == F.max("value")
+    # One row: the span of the values, in one pass. A single value gets a span of one around it.
+    span = values.agg(
+        F.struct(
+            F.when(single, F.min("value") - 0.5).otherwise(F.min("value")).alias("lo"),
+            F.when(single, F.max("value") + 0.5).otherwise(F.max("value")).alias("hi"),
+        ).alias("span")
+    ).scalar()
+    lo, hi = F.col("span.lo"), F.col("span.hi")
+    step = (hi - lo) / bins
+    place = F.floor((F.col("value") - lo) / step).cast("int")
     counts = (
-        values.select("value", lo.alias("_lo"), hi.alias("_hi"))
+        values.select("value", span.alias("span"))
         .select(F.least(place, F.lit(bins - 1)).alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
-    edges = span.filter(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi"
-    )
-    step = (F.col("hi") - F.col("lo")) / bins
-    return edges.join(counts, "bin", "left").select(
-        "bin",
-        (F.col("lo") + step * F.col("bin")).alias("bin_from"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), span.alias("span"))
+    return (
+        edges.filter(lo.isNotNull())
+        .join(counts, "bin", "left")
+        .select("bin", (lo + step * F.col("bin")).alias("bin_from"), F.coalesce("n", F.lit(0)).alias("n"))
     )

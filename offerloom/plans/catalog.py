@@ -165,7 +165,7 @@ def q_join_coupon_profile(data):
 @query
 def q_mode_customer_all(data):
     columns = combine.columns_except(data.transactions, ["customer_id"])
-    return aggregate.profile_by_key(data.transactions, "customer_id", columns)
+    return aggregate.modes_by_key(data.transactions, "customer_id", columns)
 
 
 @query
@@ -286,8 +286,7 @@ def q_describe(data):
 
 @query
 def q_quantile(data):
-    report = ordered.quantiles(data.transactions, ["quantity", *AMOUNTS], {"q10": 0.1, "q90": 0.9})
-    return report.withColumns({c: F.round(c, 4) for c in ("q10", "q90")})
+    return ordered.quantiles(data.transactions, ["quantity", *AMOUNTS], {"q10": 0.1, "q90": 0.9})
 
 
 @query
@@ -431,9 +430,7 @@ def q_blend(data):
 
 
 def _merged(data: CampaignData) -> DataFrame:
-    merged = stage(prepare.star_join(data), "merged", ["source"])
-    clean = levels.replace_level(F.col("no_of_children"), "3+", "3")
-    return merged.withColumn("no_of_children", clean)
+    return prepare.clean_levels(stage(prepare.star_join(data), "merged", ["source"]))
 
 
 @query
@@ -444,10 +441,9 @@ def q_label_encode(data):
 @query
 def q_onehot_full(data):
     merged = _merged(data)
-    columns = ["campaign_type", "brand_type", "marital_status"]
-    found = encode.fit_levels(merged, columns)
+    found = encode.fit_levels(merged, prepare.ONE_HOT)
     made = {}
-    for column in columns:
+    for column in prepare.ONE_HOT:
         made |= encode.dummies(column, encode.short_levels(found, column), prefix=column)
     return merged.select("id", *[value.alias(name) for name, value in made.items()])
 

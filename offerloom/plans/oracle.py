@@ -217,7 +217,7 @@ def _describe(column: str) -> str:
 
 
 def _quantile(column: str) -> str:
-    tenths = ", ".join(f"round(quantile_cont(cast({column} as double), {p}), 4) as q{int(100 * p)}" for p in (0.1, 0.9))
+    tenths = ", ".join(f"quantile_cont(cast({column} as double), {p}) as q{int(100 * p)}" for p in (0.1, 0.9))
     return f"select '{column}' as column_name, {tenths} from fx_trans"
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions import dates, levels, numeric
-from offerloom.operators.aggregate import profile_by_key
-from offerloom.operators.encode import dummies, fit_levels, label_encode, short_levels
+from offerloom.operators.aggregate import modes_by_key, profile_by_key
+from offerloom.operators.encode import Levels, dummies, fit_levels, label_encode, short_levels
 from offerloom.operators.joins import lookup
 from offerloom.operators.ordered import forward_fill
 from offerloom.sources.campaign import CampaignData
-from offerloom.sources.tables import stage
+from offerloom.sources.tables import stage, stage_all
 
 Demographics = Literal["ffill", "nofill", "unknown"]
 DEMOGRAPHIC_COLUMNS = [
@@ -31,7 +31,15 @@ CODES = {
     "no_of_children": "no_of_children_code",
     "income_bracket": "income_bracket_code",
 }
-# Dummy families made from codes: code column -> prefix of its dummy columns.
+# Columns with one dummy per level, and the names of those not called like their level.
+ONE_HOT = ["campaign_type", "brand_type", "marital_status"]
+DUMMY_NAMES = {
+    "X": "campaign_x",
+    "Y": "campaign_y",
+    "Established": "brand_type_est",
+    "Local": "brand_type_loc",
+}
+# Prefix of the dummies made from each code column.
 CODE_DUMMIES = {
     "category_code": "categ_code",
     "family_size_code": "family_code",
@@ -53,7 +61,7 @@ def coupon_item_table(data: CampaignData) -> DataFrame:
 
 def coupon_profile(data: CampaignData) -> DataFrame:
     """What a coupon is mostly about: the most frequent item, brand, type and category."""
-    return profile_by_key(coupon_item_table(data), "coupon_id", ["item_id", "brand", "brand_type", "category"])
+    return modes_by_key(coupon_item_table(data), "coupon_id", ["item_id", "brand", "brand_type", "category"])
 
 
 def customer_spend(data: CampaignData) -> DataFrame:
@@ -90,32 +98,35 @@ def star_join(data: CampaignData, demographics: Demographics = "ffill") -> DataF
     impressions are read, so small ones are broadcast without shuffling impressions.
     Item columns of coupon and customer are told apart as item_id_x and item_id_y.
     """
-    campaigns = stage(data.campaigns, "campaigns")
-    coupons = stage(coupon_profile(data), "coupon_profile")
-    customers = stage(customer_profile(data, demographics), "customer_profile")
-    rows = lookup(data.impressions, campaigns, "campaign_id")
-    rows = lookup(rows, coupons, "coupon_id", {"item_id": "item_id_x"})
-    return lookup(rows, customers, "customer_id", {"item_id": "item_id_y", "date": "trans_date"})
-
-
-def encode_categories(merged: DataFrame) -> DataFrame:
-    """Codes and dummies for the categorical columns; all levels are found in one pass."""
-    clean = levels.replace_level(F.col("no_of_children"), "3+", "3")
-    rows = merged.withColumn("no_of_children", clean)
-    one_hot = ["campaign_type", "brand_type", "marital_status", "rented"]
-    found = fit_levels(rows, [*CODES, *one_hot])
-    coded = label_encode(rows, CODES, found)
-    plain_names = {
-        "X": "campaign_x",
-        "Y": "campaign_y",
-        "Established": "brand_type_est",
-        "Local": "brand_type_loc",
-    }
+    tables = stage_all(
+        {
+            "campaigns": lambda: data.campaigns,
+            "coupons": lambda: coupon_profile(data),
+            "customers": lambda: customer_profile(data, demographics),
+        }
+    )
+    rows = lookup(data.impressions, tables["campaigns"], "campaign_id")
+    rows = lookup(rows, tables["coupons"], "coupon_id", {"item_id": "item_id_x"})
+    return lookup(rows, tables["customers"], "customer_id", {"item_id": "item_id_y", "date": "trans_date"})
+
+
+def clean_levels(merged: DataFrame) -> DataFrame:
+    return merged.withColumn("no_of_children", levels.replace_level(F.col("no_of_children"), "3+", "3"))
+
+
+def fit_categories(merged: DataFrame) -> Levels:
+    """The levels of all categorical columns, found in one pass."""
+    return fit_levels(merged, [*CODES, *ONE_HOT, "rented"])
+
+
+def encode_categories(merged: DataFrame, found: Levels) -> DataFrame:
+    """Codes and plain dummies instead of the categorical columns."""
     columns = {}
-    for column in one_hot[:3]:
-        columns |= dummies(column, short_levels(found, column), names=plain_names)
+    for column in ONE_HOT:
+        columns |= dummies(column, short_levels(found, column), names=DUMMY_NAMES)
     columns |= dummies("rented", short_levels(found, "rented"), prefix="rented", drop_first=True)
-    return coded.withColumns(columns).drop(*CODES, *one_hot)
+    coded = label_encode(merged, CODES, found)
+    return coded.withColumns(columns).drop(*CODES, *ONE_HOT, "rented")
 
 
 def add_durations(df: DataFrame) -> DataFrame:
@@ -136,16 +147,17 @@ def add_logs(df: DataFrame) -> DataFrame:
     return df.withColumns(logs).drop("selling_price", "other_discount", "coupon_discount")
 
 
-def add_code_dummies(df: DataFrame) -> DataFrame:
-    """Dummies for the coded columns, lowest code left out."""
-    found = fit_levels(df, list(CODE_DUMMIES))
+def add_code_dummies(df: DataFrame, found: Levels) -> DataFrame:
+    """Dummies for the coded columns, lowest code left out; n levels have the codes 0 to n-1."""
     columns = {}
-    for code, prefix in CODE_DUMMIES.items():
-        columns |= dummies(code, short_levels(found, code), prefix=prefix, drop_first=True)
+    for column, code in CODES.items():
+        known = range(len(short_levels(found, column)))
+        columns |= dummies(code, known, prefix=CODE_DUMMIES[code], drop_first=True)
     return df.withColumns(columns)
 
 
 def feature_table(data: CampaignData, demographics: Demographics = "ffill") -> DataFrame:
-    """The encoded table. The merged rows are staged, as encoders read them more than once."""
-    merged = stage(star_join(data, demographics), "merged", ["source"])
-    return add_code_dummies(add_logs(add_durations(encode_categories(merged))))
+    """The encoded table. The merged rows are staged, as they are read twice: for levels and for rows."""
+    merged = clean_levels(stage(star_join(data, demographics), "merged", ["source"]))
+    found = fit_categories(merged)
+    return add_code_dummies(add_logs(add_durations(encode_categories(merged, found))), found)

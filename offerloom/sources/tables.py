@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -53,3 +55,15 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     path = f"{shared_folder(spark)}/stages/{app}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def stage_all(tables: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Stage tables that do not depend on each other; their jobs run side by side."""
+
+    def work(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return stage(make(), name)
+
+    in_session = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        jobs = {name: pool.submit(in_session(work), name, make) for name, make in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
