@@ -125,5 +125,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, fl
     ends = {name: [F.col(f"_{name}_{end}") for end in ("lo", "hi", "part")] for name in probabilities}
     return picked.select(
         "column_name",
-        *[(lo + (hi - lo) * part).alias(name) for name, (lo, hi, part) in ends.items()],
+        *[
+            F.when(part < 0.5, lo + (hi - lo) * part).otherwise(hi - (hi - lo) * (1 - part)).alias(name)
+            for name, (lo, hi, part) in ends.items()
+        ],
     )

@@ -281,12 +281,14 @@ AMOUNTS = ["selling_price", "other_discount", "coupon_discount"]
 @query
 def q_describe(data):
     report = profile.describe(data.transactions, ["customer_id", "item_id", "quantity", *AMOUNTS])
-    return report.withColumns({c: F.round(c, 4) for c in report.columns if c not in ("column_name", "n")})
+    places = {"mean": 4, "std": 4} | dict.fromkeys(["min", "q25", "q50", "q75", "max"], 8)
+    return report.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 @query
 def q_quantile(data):
-    return ordered.quantiles(data.transactions, ["quantity", *AMOUNTS], {"q10": 0.1, "q90": 0.9})
+    report = ordered.quantiles(data.transactions, ["quantity", *AMOUNTS], {"q10": 0.1, "q90": 0.9})
+    return report.withColumns({c: F.round(c, 8) for c in ("q10", "q90")})
 
 
 @query

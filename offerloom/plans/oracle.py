@@ -209,15 +209,15 @@ def _histogram(name: str, table: str, value: str, bins: int) -> str:
 
 
 def _describe(column: str) -> str:
-    quartile = ", ".join(f"round(quantile_cont(v, {p}), 4) as q{int(100 * p)}" for p in (0.25, 0.5, 0.75))
+    quartile = ", ".join(f"round(quantile_cont(v, {p}), 8) as q{int(100 * p)}" for p in (0.25, 0.5, 0.75))
     return f"""
         select '{column}' as column_name, count(v) as n, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std,
-          round(min(v), 4) as min, {quartile}, round(max(v), 4) as max
+          round(min(v), 8) as min, {quartile}, round(max(v), 8) as max
         from (select cast({column} as double) as v from fx_trans)"""
 
 
 def _quantile(column: str) -> str:
-    tenths = ", ".join(f"quantile_cont(cast({column} as double), {p}) as q{int(100 * p)}" for p in (0.1, 0.9))
+    tenths = ", ".join(f"round(quantile_cont(cast({column} as double), {p}), 8) as q{int(100 * p)}" for p in (0.1, 0.9))
     return f"select '{column}' as column_name, {tenths} from fx_trans"
 
 
