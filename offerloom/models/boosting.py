@@ -77,38 +77,52 @@ def fit(rows: DataFrame, params: TreeParams, target: str = TARGET) -> GBTClassif
     return classifier(params).fit(with_label(rows, params, target).select("features", "label", "weight"))
 
 
-def score(model: GBTClassificationModel, rows: DataFrame, name: str = "score") -> DataFrame:
-    """Probability of the positive class next to the columns of ``rows``."""
-    scored = model.transform(rows)
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias(name)).drop("features")
+def add_score(
+    model: GBTClassificationModel, rows: DataFrame, name: str = "score", n_trees: int | None = None
+) -> DataFrame:
+    """Probability of the positive class as one more column; ``n_trees`` uses the first trees only.
 
+    Scoring only maps rows, so any number of models can be applied one after the
+    other without a shuffle.
+    """
+    if n_trees in (None, model.getNumTrees):
+        scored = model.transform(rows)
+        return scored.select(*rows.columns, vector_to_array("probability")[1].alias(name))
+    margins = _margin_columns(model, rows, [n_trees])
+    return margins.withColumn(name, probability(F.col(f"_m_{n_trees}"))).drop(f"_m_{n_trees}")
 
-def staged_margins(model: GBTClassificationModel, rows: DataFrame, tree_counts: Sequence[int]) -> DataFrame:
-    """The margin after the first n trees, in long form (``n_trees``, ``margin``), for each n asked for.
 
-    Boosting only ever adds trees, so one model of 1000 trees holds every smaller
-    one; asking how many trees are best takes one fit, not one per candidate.
-    """
-    wanted = sorted(set(tree_counts))
+def probability(margin: Column) -> Column:
+    """What a margin means as a probability under the loss the trees are fitted to."""
+    return 1.0 / (1.0 + F.exp(-2.0 * margin))
+
+
+def _margin_columns(model: GBTClassificationModel, rows: DataFrame, tree_counts: Sequence[int]) -> DataFrame:
+    """Add ``_m_<n>``, the margin after the first n trees, for each n in ascending ``tree_counts``."""
     trees, weights = model.trees, model.treeWeights
-    kept = [c for c in rows.columns if c != "features"]
     out, total, done = rows, F.lit(0.0), 0
-    for n in wanted:
+    for n in tree_counts:
         for i in range(done, n):
             out = trees[i].setFeaturesCol("features").setPredictionCol(f"_tree_{i}").transform(out)
             total = total + F.col(f"_tree_{i}") * F.lit(float(weights[i]))
         # Fold the trees so far into one column, so that the plan stays small.
-        out = out.select(*kept, "features", *[f"_m_{m}" for m in wanted if m < n], total.alias(f"_m_{n}"))
+        out = out.withColumn(f"_m_{n}", total).drop(*[f"_tree_{i}" for i in range(done, n)])
         total, done = F.col(f"_m_{n}"), n
+    return out
+
+
+def staged_margins(model: GBTClassificationModel, rows: DataFrame, tree_counts: Sequence[int]) -> DataFrame:
+    """The margin after the first n trees, in long form (``n_trees``, ``margin``), for each n asked for.
+
+    Boosting only ever adds trees, so one model of 1000 trees holds every smaller
+    one; asking how many trees are best takes one fit, not one per candidate.
+    """
+    wanted = sorted(set(tree_counts))
+    kept = [c for c in rows.columns if c != "features"]
     pairs = F.array(
         *[F.struct(F.lit(n).alias("n_trees"), F.col(f"_m_{n}").alias("margin")) for n in wanted]
     )
-    return out.select(*kept, F.inline(pairs))
-
-
-def probability(margin: Column) -> Column:
-    """What a margin means as a probability under the loss the trees are fitted to."""
-    return 1.0 / (1.0 + F.exp(-2.0 * margin))
+    return _margin_columns(model, rows, wanted).select(*kept, F.inline(pairs))
 
 
 def importances(model: GBTClassificationModel, features: Sequence[str], rows: DataFrame) -> DataFrame:

@@ -561,12 +561,12 @@ def model_query(fn: Callable[[ModelTable], DataFrame]) -> Callable[[ModelTable],
 
 @model_query
 def q_gbt_scores_a(table):
-    return boosting.score(boosting.fit(table.train, QUERY_PARAMS_A), table.test).select("id", "score")
+    return boosting.add_score(boosting.fit(table.train, QUERY_PARAMS_A), table.test).select("id", "score")
 
 
 @model_query
 def q_gbt_scores_b(table):
-    return boosting.score(boosting.fit(table.train, QUERY_PARAMS_B), table.test).select("id", "score")
+    return boosting.add_score(boosting.fit(table.train, QUERY_PARAMS_B), table.test).select("id", "score")
 
 
 @model_query
@@ -584,16 +584,26 @@ def q_cv_tree_count(table):
     return selection.cv_tree_count(table.train, QUERY_PARAMS_A, QUERY_FOLDS).table
 
 
+def _held_out(table: ModelTable) -> DataFrame:
+    folded = selection.into_folds(table.train, QUERY_FOLDS)
+    models = selection.fit_folds(folded, QUERY_PARAMS_B, QUERY_FOLDS, every=1)
+    return selection.held_out_scores(folded, models)
+
+
 @model_query
 def q_oof_scores(table):
-    folds = selection.out_of_fold(table.train, table.test, QUERY_PARAMS_B, QUERY_FOLDS, every=1)
-    return folds.held_out.select("id", "fold", "score")
+    return _held_out(table).select("id", "fold", "score")
 
 
 @model_query
 def q_fold_auc(table):
-    folds = selection.out_of_fold(table.train, table.test, QUERY_PARAMS_B, QUERY_FOLDS, every=1)
-    return metrics.roc_auc(folds.held_out, combine.TARGET, "score", ["fold"])
+    return modelling.fold_auc(_held_out(table))
+
+
+@model_query
+def q_score_corr(table):
+    mixed = modelling.blended_scores(table, QUERY_PARAMS_A, QUERY_PARAMS_B, QUERY_FOLDS, every=1)
+    return modelling.score_correlation(mixed.scores)
 
 
 @model_query

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from offerloom.functions.numeric import blend, hard_class
 from offerloom.models import boosting, selection
 from offerloom.models.boosting import PARAMS_A, PARAMS_B, TreeParams
-from offerloom.operators.aggregate import mean_by_key
 from offerloom.operators.combine import TARGET, split_by_source, top_rows
 from offerloom.operators.encode import label_encode
 from offerloom.operators.metrics import confusion_matrix, roc_auc
+from offerloom.operators.profile import correlations
 from offerloom.operators.splits import is_holdout
 from offerloom.plans.prepare import CODE_DUMMIES
 from offerloom.sources.tables import stage, write_csv
@@ -80,7 +80,7 @@ def holdout_report(table: ModelTable, params: TreeParams = PARAMS_A) -> HoldoutR
     """Fit on three quarters of the train rows, judge on the rest."""
     fit_on, judge_on = holdout(table.train)
     model = boosting.fit(fit_on, params)
-    scores = boosting.score(model, judge_on)
+    scores = boosting.add_score(model, judge_on).drop("features")
     judged = scores.withColumn("prediction", hard_class(F.col("score")))
     return HoldoutReport(
         model, roc_auc(scores, TARGET, "score"), confusion_matrix(judged, TARGET, "prediction"), scores
@@ -103,7 +103,7 @@ def write_submission(df: DataFrame, path: str) -> None:
 class Blend(NamedTuple):
     scores: DataFrame
     best_trees_a: int
-    fold_auc: DataFrame
+    held_out: DataFrame
 
 
 def blended_scores(
@@ -115,12 +115,26 @@ def blended_scores(
     every: int = 10,
     weights: tuple[float, float] = (0.5, 0.5),
 ) -> Blend:
-    """Model A with a cross-validated number of trees on all train rows, model B averaged over folds."""
+    """Model A with a cross-validated number of trees on all train rows, model B averaged over folds.
+
+    All models score a test row where it lies; both scores and their blend are
+    columns of that row, and no join brings them together.
+    """
     best = selection.cv_tree_count(table.train, params_a, n_folds, patience, every).best_trees
     model_a = boosting.fit(table.train, replace(params_a, trees=best or params_a.trees))
-    score_a = boosting.score(model_a, table.test, "score_a")
-    folds = selection.out_of_fold(table.train, table.test, params_b, n_folds, patience, every)
-    score_b = mean_by_key(folds.predicted, "id", "score").withColumnRenamed("score", "score_b")
-    both = score_a.join(score_b, "id")
-    mixed = both.withColumn("score", blend([F.col("score_a"), F.col("score_b")], weights))
-    return Blend(mixed, best, roc_auc(folds.held_out, TARGET, "score", ["fold"]))
+    folded = selection.into_folds(table.train, n_folds)
+    models_b = selection.fit_folds(folded, params_b, n_folds, patience, every)
+    scored = boosting.add_score(model_a, table.test, "score_a")
+    scored = selection.mean_score(scored, models_b, "score_b").drop("features")
+    mixed = scored.withColumn("score", blend([F.col("score_a"), F.col("score_b")], weights))
+    return Blend(mixed, best, selection.held_out_scores(folded, models_b))
+
+
+def fold_auc(held_out: DataFrame) -> DataFrame:
+    """AUC of each fold on the rows its model has not seen."""
+    return roc_auc(held_out, TARGET, "score", ["fold"])
+
+
+def score_correlation(scores: DataFrame) -> DataFrame:
+    """How far the two models agree."""
+    return correlations(scores, ["score_a", "score_b"])
