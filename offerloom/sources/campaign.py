@@ -75,6 +75,11 @@ def from_csv(
     )
 
 
+def read_template(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of a submission template; the values in it only show the format."""
+    return read_csv(spark, path, schemas.SUBMISSION).select("id")
+
+
 def from_star_schema(spark: SparkSession, folder: str) -> CampaignData:
     """Campaign tables derived from order and line-item tables in ``folder``.
 

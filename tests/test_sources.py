@@ -78,6 +78,12 @@ def test_csv_and_parquet_survive_a_round_trip(spark, tmp_path):
     assert sorted(map(tuple, tables.read_parquet(spark, str(tmp_path / "parquet")).collect())) == expected
 
 
+def test_template_holds_the_ids(spark, tmp_path):
+    (tmp_path / "sample.csv").write_text("id,redemption_status\n3,0\n5,0\n")
+    template = campaign.read_template(spark, str(tmp_path / "sample.csv"))
+    assert template.columns == ["id"] and sorted(r.id for r in template.collect()) == [3, 5]
+
+
 def test_staged_tables_keep_columns_and_prune_partitions(spark):
     df = spark.createDataFrame([("train", 1), ("test", 2)], "source string, id long")
     staged = tables.stage(df, "x", ["source"])
