@@ -47,22 +47,27 @@ def hash_scores(*names: str) -> dict[str, Column]:
     return {name: seeded_uniform(F.col("id"), splits.SEED, name) for name in names}
 
 
+def open_numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole-number columns with gaps as doubles, the form in which other tools hold them."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 # Scans, staging, combining
 
 
 @query
 def q_scan_impressions(data):
-    return data.impressions
+    return open_numbers(data.impressions, combine.TARGET)
 
 
 @query
 def q_stage_roundtrip(data):
-    return stage(data.impressions, "roundtrip", ["source"])
+    return open_numbers(stage(data.impressions, "roundtrip", ["source"]), combine.TARGET)
 
 
 @query
 def q_union_train_test(data):
-    return combine.union_tagged({"train": data.train, "test": data.test})
+    return open_numbers(combine.union_tagged({"train": data.train, "test": data.test}), combine.TARGET)
 
 
 @query
@@ -143,7 +148,8 @@ def q_trans_before_start(data):
 
 @query
 def q_join_campaign(data):
-    return prepare.impressions_with_campaign(replace(data, campaigns=stage(data.campaigns, "campaigns")))
+    staged = replace(data, campaigns=stage(data.campaigns, "campaigns"))
+    return open_numbers(prepare.impressions_with_campaign(staged), combine.TARGET)
 
 
 @query
@@ -159,7 +165,7 @@ def q_mode_coupon_profile(data):
 @query
 def q_join_coupon_profile(data):
     profiles = stage(prepare.coupon_profile(data), "coupon_profile")
-    return lookup(data.impressions, profiles, "coupon_id")
+    return open_numbers(lookup(data.impressions, profiles, "coupon_id"), combine.TARGET)
 
 
 @query
@@ -180,7 +186,7 @@ def q_customer_profile(data):
 
 @query
 def q_customer_nofill(data):
-    return prepare.customer_profile(data, "nofill")
+    return open_numbers(prepare.customer_profile(data, "nofill"), "rented", "income_bracket")
 
 
 @query
@@ -207,12 +213,12 @@ def q_ffill_scalable(spark, folder):
 
 @query
 def q_star_join(data):
-    return prepare.star_join(data, "ffill")
+    return open_numbers(prepare.star_join(data, "ffill"), combine.TARGET, "rented", "income_bracket")
 
 
 @query
 def q_star_join_nofill(data):
-    return prepare.star_join(data, "nofill")
+    return open_numbers(prepare.star_join(data, "nofill"), combine.TARGET, "rented", "income_bracket")
 
 
 # Profiling
@@ -379,7 +385,7 @@ def q_parse_dates(spark, folder):
         dates.parse_date(long, "dd/MM/yyyy").alias("day_first"),
         dates.parse_date_month_first(long, "MM/dd/yyyy", "dd/MM/yyyy").alias("month_first"),
         dates.parse_date(F.col("short_text"), "dd/MM/yy").alias("short_year"),
-        dates.parse_date(long, "yyyy-MM-dd").alias("other_format"),
+        dates.parse_date(long, "yyyy-MM-dd").isNull().alias("other_format_fails"),
     )
 
 
@@ -475,7 +481,7 @@ def q_code_table(data):
 
 @query
 def q_feature_table(data):
-    features = prepare.feature_table(data)
+    features = open_numbers(prepare.feature_table(data), combine.TARGET)
     return features.withColumns({c: F.round(c, 6) for c in features.columns if c.endswith("_log")})
 
 

@@ -147,6 +147,10 @@ def _uniform(purpose: str, key: str = "cast(id as varchar)") -> str:
     return f"{_hash(purpose, key)} / cast(4294967296 as double)"
 
 
+def _open(*columns: str) -> str:
+    return ", ".join(f"cast({c} as double) as {c}" for c in columns)
+
+
 def _union(parts: list[str]) -> str:
     return " union all ".join(parts)
 
@@ -197,7 +201,7 @@ def _feature_table() -> str:
         for code, prefix in CODES.values()
         for level in range(1, HIGHEST_CODE[code] + 1)
     )
-    return f"select *, {dummies} from ({coded})"
+    return f"select * replace ({_open('redemption_status')}), {dummies} from ({coded})"
 
 
 def _histogram(name: str, table: str, value: str, bins: int) -> str:
@@ -294,7 +298,10 @@ def _skewness(name: str, value: str) -> str:
 
 
 def _statements() -> dict[str, str]:
-    impression = "id, campaign_id, coupon_id, customer_id, redemption_status"
+    keys = "id, campaign_id, coupon_id, customer_id"
+    train_row = f"{keys}, redemption_status"
+    impression = f"{keys}, cast(redemption_status as double) as redemption_status"
+    gaps = ["redemption_status", "rented", "income_bracket"]
     ntile = f"ntile(10) over (order by {_hash('fold')}, id) - 1"
     per_label = f"row_number() over (partition by redemption_status order by {_hash('fold')}, id) - 1"
     one_hot = [
@@ -307,7 +314,7 @@ def _statements() -> dict[str, str]:
         "q_union_train_test": f"""
             select {impression}, 'train' as source from fx_train
             union all select id, campaign_id, coupon_id, customer_id, null, 'test' from fx_test""",
-        "q_split_source_train": f"select {impression} from fx_train",
+        "q_split_source_train": f"select {train_row} from fx_train",
         "q_split_source_test": "select id, campaign_id, coupon_id, customer_id from fx_test",
         "q_string_columns": _union(
             [f"select '{c}' as column_name, count({c}) as n_filled, count(distinct {c}) as n_unique from star" for c in STRINGS]
@@ -336,15 +343,15 @@ def _statements() -> dict[str, str]:
         "q_mode_customer_all": _modes("fx_trans", "customer_id", ["date", "item_id", "quantity", *AMOUNTS]),
         "q_mode_two_stage": _mode("fx_trans", "customer_id", "item_id"),
         "q_customer_profile": "select * from spend",
-        "q_customer_nofill": "select * from people_nofill",
+        "q_customer_nofill": f"select * replace ({_open(*gaps[1:])}) from people_nofill",
         "q_customer_ffill": "select * from people_ffill",
         "q_customer_unknown": _filled(f"(select * from spend left join ({IMPUTED}) using (customer_id))"),
         "q_ffill_scalable": f"""
             select o_orderkey, {_last('p', 'o_orderkey')} as o_totalprice, {_last('r', 'o_orderkey')} as o_orderpriority
             from (select o_orderkey, case when o_orderstatus = 'F' then o_totalprice end as p,
                     case when o_orderstatus = 'F' then o_orderpriority end as r from orders)""",
-        "q_star_join": "select * from star",
-        "q_star_join_nofill": "select * from star_nofill",
+        "q_star_join": f"select * replace ({_open(*gaps)}) from star",
+        "q_star_join_nofill": f"select * replace ({_open(*gaps)}) from star_nofill",
         "q_row_counts": _union(
             [
                 f"select '{_table_label(t)}' as table_name, count(*) as n_rows, {len(c)} as n_columns from {t}"
@@ -410,7 +417,7 @@ def _statements() -> dict[str, str]:
             select o_orderkey, cast(strptime(t, '%d/%m/%Y') as date) as day_first,
               cast(coalesce(try_strptime(t, '%m/%d/%Y'), try_strptime(t, '%d/%m/%Y')) as date) as month_first,
               cast(strptime(s, '%d/%m/%y') as date) as short_year,
-              cast(try_strptime(t, '%Y-%m-%d') as date) as other_format
+              try_strptime(t, '%Y-%m-%d') is null as other_format_fails
             from (select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as t, strftime(o_orderdate, '%d/%m/%y') as s
                   from orders)""",
         "q_durations": """

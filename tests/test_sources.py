@@ -108,5 +108,8 @@ def test_the_cluster_folder_is_used_and_required(tmp_path):
 
     assert session.shared_folder(Session()) == str(tmp_path)
     values.clear()
+    Context.master = "local[2]"
+    assert "offerloom-" in session.shared_folder(Session()) == session.shared_folder(Session())
+    Context.master = "spark://cluster:7077"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
