@@ -614,9 +614,8 @@ def q_score_corr(table):
 
 @model_query
 def q_grid_search(table):
-    grid = {"step": [0.05, 0.1], "depth": [3, 4]}
-    base = replace(QUERY_PARAMS_B, trees=2)
-    return selection.grid_search(table.train, base, grid, n_folds=QUERY_FOLDS)
+    grid = {"step": [0.05, 0.1], "depth": [3, 4], "trees": [1, 2]}
+    return selection.grid_search(table.train, QUERY_PARAMS_B, grid, n_folds=QUERY_FOLDS)
 
 
 @model_query

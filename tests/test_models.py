@@ -40,7 +40,9 @@ def test_holdout_report_sees_the_signal(table):
 
 
 def test_first_trees_of_a_model_are_the_smaller_model(table):
-    four, two = boosting.fit(table.train, SMALL_B), boosting.fit(table.train, replace(SMALL_B, trees=2))
+    # Rows and predictors are sampled for each tree; the seed makes the samples the same.
+    params = replace(SMALL_B, row_share=0.8)
+    four, two = boosting.fit(table.train, params), boosting.fit(table.train, replace(params, trees=2))
     for n, model in ((4, four), (2, two)):
         full = boosting.add_score(model, table.test, "full")
         both = boosting.add_score(four, full, "first", n)
@@ -85,5 +87,11 @@ def test_grid_search(table):
     assert len(selection.grid_points(grid)) == 4
     drawn = selection.grid_points(selection.DEFAULT_GRID, draws=5)
     assert len(drawn) == 5 and drawn == selection.grid_points(selection.DEFAULT_GRID, draws=5)
-    found = selection.grid_search(table.train, replace(SMALL_B, trees=1), grid, n_folds=2).collect()
-    assert len(found) == 4 and found[0].depth == "3" and found[0].auc_mean >= found[-1].auc_mean
+    grid["trees"] = [1, 2]
+    found = selection.grid_search(table.train, SMALL_B, grid, n_folds=2).collect()
+    assert len({(r.step, r.depth, r.trees) for r in found}) == 8
+    assert [r.auc_mean for r in found] == sorted((r.auc_mean for r in found), reverse=True)
+    by_point = {(r.step, r.depth, r.trees): r.auc_mean for r in found}
+    assert by_point[0.3, 3, 1] > by_point[0.3, 1, 1]
+    alone = selection.cv_auc(table.train, replace(SMALL_B, trees=2, step=0.3, depth=1), n_folds=2)
+    assert alone == pytest.approx(by_point[0.3, 1, 2])
