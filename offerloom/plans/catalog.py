@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from offerloom.plans import modelling, prepare
 from offerloom.plans.modelling import ModelTable
 from offerloom.plans.prepare import CODES
 from offerloom.sources.campaign import CampaignData, from_star_schema
-from offerloom.sources.tables import read_parquet, stage
+from offerloom.sources.tables import read_parquet, stage, stage_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,10 +129,16 @@ def q_negative_campaign(spark, folder):
 
 def _impression_dates(data: CampaignData) -> DataFrame:
     """id, label side, campaign window and usual transaction date of each impression."""
-    campaigns = stage(data.campaigns.select("campaign_id", "start_date", "end_date"), "campaigns")
-    usual = aggregate.mode_by_key(data.transactions, "customer_id", "date").withColumnRenamed("date", "trans_date")
-    rows = lookup(data.impressions.select("id", "campaign_id", "customer_id"), campaigns, "campaign_id")
-    return lookup(rows, stage(usual, "usual_date"), "customer_id")
+    tables = stage_all(
+        data.impressions.sparkSession,
+        {
+            "campaigns": lambda: data.campaigns.select("campaign_id", "start_date", "end_date"),
+            "usual_date": lambda: aggregate.mode_by_key(data.transactions, "customer_id", "date"),
+        },
+    )
+    rows = data.impressions.select("id", "campaign_id", "customer_id")
+    rows = lookup(rows, tables["campaigns"], "campaign_id")
+    return lookup(rows, tables["usual_date"], "customer_id", {"date": "trans_date"})
 
 
 @query
@@ -550,16 +555,20 @@ def q_confusion(data):
 # Models
 
 
-@lru_cache(maxsize=4)
-def _model_rows(app: str, folder: str) -> ModelTable:
+_MODEL_TABLES: dict[tuple[str, str], ModelTable] = {}
+
+
+def _model_rows(spark: SparkSession, folder: str) -> ModelTable:
     """Model queries of one application share the staged table they are fitted on."""
-    spark = SparkSession.getActiveSession()
-    return modelling.model_table(prepare.feature_table(from_star_schema(spark, folder)))
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MODEL_TABLES:
+        _MODEL_TABLES[key] = modelling.model_table(prepare.feature_table(from_star_schema(spark, folder)))
+    return _MODEL_TABLES[key]
 
 
 def model_query(fn: Callable[[ModelTable], DataFrame]) -> Callable[[ModelTable], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return fn(_model_rows(spark.sparkContext.applicationId, folder))
+        return fn(_model_rows(spark, folder))
 
     QUERIES[fn.__name__] = run
     return fn

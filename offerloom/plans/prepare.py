@@ -99,11 +99,12 @@ def star_join(data: CampaignData, demographics: Demographics = "ffill") -> DataF
     Item columns of coupon and customer are told apart as item_id_x and item_id_y.
     """
     tables = stage_all(
+        data.impressions.sparkSession,
         {
             "campaigns": lambda: data.campaigns,
             "coupons": lambda: coupon_profile(data),
             "customers": lambda: customer_profile(data, demographics),
-        }
+        },
     )
     rows = lookup(data.impressions, tables["campaigns"], "campaign_id")
     rows = lookup(rows, tables["coupons"], "coupon_id", {"item_id": "item_id_x"})

@@ -5,15 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from offerloom.session import shared_folder
 
+T = TypeVar("T")
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Comma-separated text with a header row, read with a declared schema.
 
     A malformed value stops the read instead of turning into a silent NULL.
@@ -57,13 +60,15 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def stage_all(tables: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
-    """Stage tables that do not depend on each other; their jobs run side by side."""
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
+    """Run functions that start Spark jobs, ``parallelism`` at a time; results come in order."""
+    in_session = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        running = [pool.submit(in_session(job)) for job in jobs]
+        return [job.result() for job in running]
 
-    def work(name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        return stage(make(), name)
 
-    in_session = inheritable_thread_target(SparkSession.getActiveSession())
-    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
-        jobs = {name: pool.submit(in_session(work), name, make) for name, make in tables.items()}
-        return {name: job.result() for name, job in jobs.items()}
+def stage_all(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Stage tables that do not depend on each other; their jobs run side by side."""
+    jobs = [lambda name=name, make=make: stage(make(), name) for name, make in tables.items()]
+    return dict(zip(tables, side_by_side(spark, jobs, len(jobs))))
