@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _LOWER_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
- 'abcdefghijklmnopqrstuvwxyz'), '{gap}'), x -> x <> '')"""
+ 'abcdefghijklmnopqrstuvwxyz'), '{gap}'), lambda x: x <> '')"""
 _SPACE = r"[\x20\x09-\x0D]+"
 _PLAIN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
