@@ -122,7 +122,7 @@ def _size_fits(n, low, high):
     return (100 * F.col(n) >= PERCENT * F.col(low)) & (100 * F.col(high) >= PERCENT * F.col(n))
 
 
-def _bitmap(tokens: DataFrame) -> np.ndarray:
+def token_bitmap(tokens: DataFrame) -> np.ndarray:
     """One bit for the low bits of each token: 2 ** (BITMAP_BITS - 3) bytes, however many tokens."""
     low = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     bits = tokens.select(F.shiftright(low, 6).alias("word"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
@@ -182,7 +182,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .where(F.col("low") < F.col("high"))
         .select("token")
     )
-    marks = spark.sparkContext.broadcast(_bitmap(contested))
+    marks = spark.sparkContext.broadcast(token_bitmap(contested))
 
     def only_contested(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -53,5 +53,19 @@ contamination as (
 DECONTAMINATION = f"with {CONTAMINATION_CTES.format(documents='documents')} select * from contamination"
 
 
+TOP_K = """
+with v as (
+ select vec_id, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as bigint)) as x
+ from embeddings where vec_id is not null and embedding is not null
+  and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+scores as (
+ select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+ from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+ranked as (
+ select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+ from scores)
+select * from ranked where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD, "op7_decontamination": DECONTAMINATION}
+    return {"op3_jaccard_join": JACCARD, "op4_top_k": TOP_K, "op7_decontamination": DECONTAMINATION}
