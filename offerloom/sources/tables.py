@@ -60,6 +60,24 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that no later step reads; anything but a staged table is left alone."""
+    for df in staged:
+        files = df.inputFiles()
+        if files and "/stages/" in files[0]:
+            _remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove everything that this application has staged."""
+    _remove(spark, f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
     """Run functions that start Spark jobs, ``parallelism`` at a time; results come in order."""
     in_session = inheritable_thread_target(spark)
