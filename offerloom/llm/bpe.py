@@ -30,7 +30,7 @@ from offerloom.llm.common import map_texts, text_column
 from offerloom.llm.texthash import utf8
 from offerloom.llm.token_counts import byte_alphabet
 
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 SHORT = 32
 NOTHING = 1 << 62
 _UNICODE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""

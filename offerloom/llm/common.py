@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 BUCKETS = 1 << 18
 TEXTS_AT_ONCE = 256
+ROWS_PER_BATCH = 2048
 _SHIPPED: set[str] = set()
 
 
@@ -31,6 +32,9 @@ def ship(spark: SparkSession) -> None:
         )
         spark.sparkContext.addPyFile(archive)
         _SHIPPED.add(app)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        # texts can be long: a worker holds this many rows at a time
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

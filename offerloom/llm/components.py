@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.sources.tables import stage
+from offerloom.sources.tables import discard, stage
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -25,6 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stage(current, "edges")
     state = _state(current)
     while True:
+        before = current
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,6 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, before)
         previous, state = state, _state(current)
         if state == previous:
             roots = current.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

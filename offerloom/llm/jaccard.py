@@ -5,11 +5,11 @@ Jaccard similarity of their sets is at least ``PERCENT`` %. Documents with equal
 
 1. Grouping. Classes that share one of ``ROUNDS`` min-hashes are compared with one leader per min-hash
    (never with each other); links found so join classes into groups of similar documents.
-2. Matrix. Of every set, the tokens that come first in one fixed order and are just enough to meet any
-   similar set (n - ceil(0.8 n) + 1 of n) are listed. A group's row of the matrix is the union of its
+2. Matrix. Of every set of n, the n - ceil(0.8 n) + k tokens that come first in one fixed order are
+   listed; two similar sets have at least k listed tokens in common (k is ``overlap(n)``). A group's row of the matrix is the union of its
    members' listed tokens. The order puts tokens that are frequent in the corpus last.
-3. Bound. A document can only link to a member of a group if their listed tokens overlap and the
-   group's range of set sizes allows it. Tokens of a single group are dropped at once.
+3. Bound. A document can only link to a member of a group if enough of its listed tokens are in the
+   group's row and the group's range of set sizes allows it. Tokens of a single group are dropped at once.
 4. Opening. Only documents and groups that pass are compared, member by member, on the whole sets.
 
 Links inside a group need no further comparison, as its members are connected already. So no link
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import drop_rows, keep_buckets, map_texts, ship, text_column, with_row_key
 from offerloom.llm.components import connected_components
 from offerloom.llm.texthash import mix, runs_of, word_hashes
-from offerloom.sources.tables import stage
+from offerloom.sources.tables import discard, stage
 
 WORDS = 5
 PERCENT = 80
@@ -79,14 +79,25 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], top.column("n").to_numpy()[order]
 
 
+def overlap(n: int) -> int:
+    """Listed tokens that a set of ``n`` is to share with any similar set."""
+    return 3 + n // 16
+
+
+def _least_overlap(n: str):
+    """The same, as a bound for a document and any similar one, which may be smaller by a fifth."""
+    smaller = F.ceil(F.col(n) * PERCENT / 100)
+    return F.least(3 + F.floor(smaller / 16), smaller)
+
+
 def listed(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the common order, one more than a similar set can miss."""
+    """The first tokens of a set in the common order, ``overlap`` more than a similar set can miss."""
     weight = np.zeros(len(tokens), np.int64)
     if len(frequent) and len(tokens):
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
         weight = np.where(frequent[at] == tokens, counts[at], 0)
-    keep = len(tokens) - -(-PERCENT * len(tokens) // 100) + 1
+    keep = len(tokens) - -(-PERCENT * len(tokens) // 100) + overlap(len(tokens))
     return tokens[np.lexsort((tokens, weight))[:keep]]
 
 
@@ -108,13 +119,16 @@ def _linked(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFra
         found = [shingles(t) for t in texts]
         return {"sid": [_set_id(s) if len(s) else None for s in found], "tokens": [s.view(np.int64) for s in found]}
 
-    known = map_texts(rows, sets, "sid bigint, tokens array<bigint>").join(wanted, ["sid", "rid"]).select("sid", "tokens")
-    known = stage(known.dropDuplicates(["sid"]), "sets")
+    known = map_texts(rows, sets, "sid bigint, tokens array<bigint>").join(wanted, ["sid", "rid"])
+    known = stage(known.dropDuplicates(["sid", "rid"]).select("sid", "tokens"), "sets")
     left = known.select(F.col("sid").alias("a"), F.col("tokens").alias("left"))
     right = known.select(F.col("sid").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("left", "right")).cast("long")
-    return both.where(100 * common >= PERCENT * (F.size("left") + F.size("right") - common)).select("a", "b")
+    linked = both.where(100 * common >= PERCENT * (F.size("left") + F.size("right") - common)).select("a", "b")
+    linked = stage(linked, "links")
+    discard(pairs, wanted, known)
+    return linked
 
 
 def _size_fits(n, low, high):
@@ -155,7 +169,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     leaders = spread.groupBy("round", "low").agg(F.min(F.struct("sid", "n")).alias("first"), F.count("*").alias("m"))
     leaders = leaders.where(F.col("m") > 1).select("round", "low", F.col("first.sid").alias("a"), F.col("first.n").alias("na"))
     stars = spread.join(leaders, ["round", "low"]).where((F.col("sid") != F.col("a")) & _size_fits("n", "na", "na"))
-    links = stage(_linked(stars.select("a", F.col("sid").alias("b")).distinct(), documents, nodes), "links")
+    links = _linked(stars.select("a", F.col("sid").alias("b")).distinct(), documents, nodes)
     grouped = stage(_with_components(nodes, links), "groups")
 
     # 2. listed tokens of every class, with its group
@@ -198,21 +212,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     ship(spark)
     meeting = prefix.mapInArrow(only_contested, "sid bigint, n bigint, grp bigint, token bigint")
-    meeting = stage(meeting, "contested-tokens")
+    meeting = stage(meeting.distinct(), "contested-tokens")
+    discard(prefix)
     sizes = grouped.groupBy(F.col("component").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = meeting.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other")
     bounded = (
         meeting.join(matrix, "token")
         .where((F.col("grp") < F.col("other")) & _size_fits("n", "least", "most"))
-        .select("sid", "n", "other")
-        .distinct()
+        .groupBy("sid", "n", "other")
+        .agg(F.count("*").alias("met"))  # rows of both sides are distinct, so these are distinct tokens
+        .where(F.col("met") >= _least_overlap("n"))
     )
 
     # 4. open the groups that are left
     members = grouped.select(F.col("component").alias("other"), F.col("sid").alias("b"), F.col("n").alias("nb"))
     opened = bounded.join(members, "other").where(_size_fits("n", "nb", "nb")).select(F.col("sid").alias("a"), "b")
     more = _linked(opened, documents, nodes)
-    final = _with_components(nodes, stage(links.unionByName(more), "links"))
+    discard(meeting)
+    final = _with_components(nodes, links.unionByName(more))
     smallest = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage(final.join(smallest, "component").select("sid", "component_id"), "components")
 
