@@ -38,7 +38,7 @@ from offerloom.sources.tables import discard, stage
 WORDS = 5
 PERCENT = 80
 ROUNDS = 4
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 BITMAP_BITS = 24
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) & ((1 << 64) - 1) for i in range(ROUNDS)], np.uint64)
 
@@ -58,7 +58,7 @@ def _describe(texts: list[str]) -> dict:
         [int((mix(s ^ seed)).min().view(np.int64)) for seed in _SEEDS] if len(s) else None for s in sets
     ]
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    often = counts >= 4
+    often = counts >= 2
     nothing = [[]] * (len(texts) - 1)
     return {
         "sid": [_set_id(s) if len(s) else None for s in sets],
