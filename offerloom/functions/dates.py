@@ -18,6 +18,13 @@ def parse_date(text: Column, fmt: str, century_pivot: int = 70) -> Column:
     return F.when(F.year(parsed) % 100 >= century_pivot, F.add_months(parsed, -1200)).otherwise(parsed)
 
 
+def parse_date_or_fail(text: Column, fmt: str, century_pivot: int = 70) -> Column:
+    """Like :func:`parse_date`, but text that does not fit stops the query; NULL and blank text give NULL."""
+    parsed = parse_date(text, fmt, century_pivot)
+    wrong = (F.trim(text) != "") & parsed.isNull()
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"no date in the format {fmt}: "), text))).otherwise(parsed)
+
+
 def parse_date_month_first(text: Column, month_first: str, day_first: str) -> Column:
     """Read ambiguous text month-first and fall back to day-first.
 

@@ -3,32 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Money is added up in units of 0.0001 as whole numbers: the result is exact and the
-# same on every run, in whatever order the rows arrive. Each amount goes into a high
-# and a low sum, so that a group of 10**12 rows does not overflow a long.
-UNITS = 10_000
-LOW_BITS = 20
+# Amounts are added up as decimals: the sum is exact to 18 decimals and the same on every run, in
+# whatever order the rows arrive. A total that does not fit stops the query.
+EXACT = "decimal(38,18)"
 
 
 def money_sums(column: str) -> dict[str, Column]:
-    units = F.floor(F.col(column) * UNITS + 0.5)
-    return {
-        f"_high_{column}": F.sum(F.shiftright(units, LOW_BITS)),
-        f"_low_{column}": F.sum(units.bitwiseAND(F.lit(2**LOW_BITS - 1))),
-        f"_cnt_{column}": F.count(column),
-    }
+    return {f"_sum_{column}": F.sum(F.col(column).cast(EXACT)), f"_cnt_{column}": F.count(column)}
 
 
 def money_mean(column: str) -> Column:
     """The mean from the parts of :func:`money_sums`; no amount at all gives NULL."""
-    high, low = (F.col(f"_{part}_{column}").cast("decimal(25,0)") for part in ("high", "low"))
-    total = (high * F.lit(Decimal(2**LOW_BITS)) + low) * F.lit(Decimal(1) / UNITS)
-    return F.when(F.col(f"_cnt_{column}") > 0, total.cast("double") / F.col(f"_cnt_{column}"))
+    return F.when(F.col(f"_cnt_{column}") > 0, F.col(f"_sum_{column}").cast("double") / F.col(f"_cnt_{column}"))
 
 
 def mean_money_by_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -48,7 +48,10 @@ def running_totals(
     )
     within = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.sum(v).over(within).alias(f"_local_{v}") for v in values])
-    joined = local.join(offsets, parts)
+    # null-safe: a NULL group is a group
+    renamed = offsets.withColumnsRenamed({p: f"_part_{p}" for p in parts})
+    same = [F.col(p).eqNullSafe(F.col(f"_part_{p}")) for p in parts]
+    joined = local.join(renamed, same)
     return joined.select(
         *df.columns,
         *[(F.coalesce(f"_local_{v}", F.lit(0)) + F.col(f"_offset_{v}")).alias(f"{v}_before") for v in values],

@@ -40,9 +40,21 @@ BASE_PREDICTORS = [
 ]
 
 
+# Dummies whose level may be absent from the data; no row has it then.
+OPTIONAL_DUMMIES = ["brand_type_est", "brand_type_loc", "Married", "rented_1", "campaign_x"]
+
+
+def with_absent_levels(encoded: DataFrame) -> DataFrame:
+    absent = [c for c in OPTIONAL_DUMMIES if c not in encoded.columns]
+    return encoded.withColumns({c: F.lit(0) for c in absent}) if absent else encoded
+
+
 def predictors(encoded: DataFrame) -> list[str]:
-    """Base predictors, then every dummy of each family, as far as the table has them."""
-    names = [c for c in BASE_PREDICTORS if c in encoded.columns]
+    """Base predictors, then every dummy of each family that the table has; a missing base name is an error."""
+    missing = [c for c in BASE_PREDICTORS if c not in encoded.columns]
+    if missing:
+        raise ValueError(f"the feature table lacks {', '.join(missing)}")
+    names = list(BASE_PREDICTORS)
     for prefix in CODE_DUMMIES.values():
         names += [c for c in encoded.columns if c.startswith(f"{prefix}_") and c not in CODE_DUMMIES]
     return names
@@ -56,6 +68,7 @@ class ModelTable(NamedTuple):
 
 def model_table(encoded: DataFrame) -> ModelTable:
     """Assembled train and test rows, staged once; a brand given as text is coded."""
+    encoded = with_absent_levels(encoded)
     if dict(encoded.dtypes)["brand"] == "string":
         encoded = label_encode(encoded, {"brand": "_brand"}).drop("brand").withColumnRenamed("_brand", "brand")
     features = predictors(encoded)

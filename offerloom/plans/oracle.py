@@ -62,8 +62,8 @@ def _modes(table: str, key: str, columns: list[str]) -> str:
 
 
 def _mean(column: str) -> str:
-    """Amounts have four decimals at most, so their decimal sum is exact."""
-    return f"cast(sum(cast({column} as decimal(18,4))) as double) / count({column}) as {column}"
+    """Mean of the amounts as they are: every digit of their shortest decimal form is added up."""
+    return f"cast(sum(cast(cast({column} as varchar) as decimal(38,18))) as double) / count({column}) as {column}"
 
 
 def _last(column: str, order: str) -> str:

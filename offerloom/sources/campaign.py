@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import schemas
-from offerloom.functions.dates import parse_date
+from offerloom.functions.dates import parse_date_or_fail
 from offerloom.operators.combine import split_by_source, union_tagged
 from offerloom.sources.tables import read_csv, read_parquet, stage
 
@@ -49,19 +49,19 @@ def from_csv(
     campaign_dates: str = "dd/MM/yy",
     transaction_dates: str = "yyyy-MM-dd",
 ) -> CampaignData:
-    """Seven CSV files in one folder, dates parsed with the stated formats."""
+    """Seven CSV files in one folder, dates parsed with the stated formats; a date that does not fit stops the read."""
 
     def table(name: str, schema):
         return read_csv(spark, f"{folder}/{name}.csv", schema)
 
     campaigns = table("campaign_data", schemas.CAMPAIGN).withColumns(
         {
-            "start_date": parse_date(F.col("start_date"), campaign_dates),
-            "end_date": parse_date(F.col("end_date"), campaign_dates),
+            "start_date": parse_date_or_fail(F.col("start_date"), campaign_dates),
+            "end_date": parse_date_or_fail(F.col("end_date"), campaign_dates),
         }
     )
     transactions = table("customer_transaction_data", schemas.TRANSACTION).withColumn(
-        "date", parse_date(F.col("date"), transaction_dates)
+        "date", parse_date_or_fail(F.col("date"), transaction_dates)
     )
     return CampaignData(
         impressions=union_tagged(

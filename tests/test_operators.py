@@ -349,3 +349,36 @@ def test_confusion_has_all_cells(frame):
         (1, 0, 0),
         (1, 1, 2),
     ]
+
+
+def test_means_keep_every_decimal(frame):
+    rows = as_dict(aggregate.mean_money_by_key(frame([(1, 0.00004), (1, 0.00002)], "k int, v double"), "k", ["v"]), "k", "v")
+    assert rows[1] == pytest.approx(0.00003, rel=1e-12)
+
+
+def test_null_group_has_its_auc(frame):
+    data = [(None, 0, 0.1), (None, 1, 0.9), (1, 0, 0.9), (1, 1, 0.1)]
+    rows = as_dict(metrics.roc_auc(frame(data, "g int, y int, s double"), "y", "s", ["g"]), "g", "auc")
+    assert rows == {None: 1.0, 1: 0.0}
+
+
+@pytest.mark.parametrize("label, prediction", [(None, 1), (2, 1), (1, None), (0, 3)])
+def test_unknown_class_stops_the_confusion_matrix(frame, label, prediction):
+    with pytest.raises(Exception, match="have to be 0 or 1"):
+        metrics.confusion_matrix(frame([(label, prediction), (1, 1)], "y int, p int"), "y", "p").collect()
+
+
+def test_missing_predictor_is_an_error(frame):
+    from offerloom.plans.modelling import predictors
+
+    with pytest.raises(ValueError, match="campaign_id"):
+        predictors(frame([(1,)], "coupon_id int"))
+
+
+def test_wrong_date_stops_the_query(frame):
+    from offerloom.functions.dates import parse_date_or_fail
+
+    good = frame([("21/10/13",), (None,), (" ",)], "t string").select(parse_date_or_fail(F.col("t"), "dd/MM/yy").alias("d"))
+    assert sorted(str(r["d"]) for r in good.collect()) == ["2013-10-21", "None", "None"]
+    with pytest.raises(Exception, match="no date in the format"):
+        frame([("2013-10-21",)], "t string").select(parse_date_or_fail(F.col("t"), "dd/MM/yy")).collect()
