@@ -3,8 +3,11 @@
 A document is the set of its runs of five words (hashed to 64 bits); two documents link when the
 Jaccard similarity of their sets is at least ``PERCENT`` %. Documents with equal sets are one class.
 
-1. Grouping. Classes that share one of ``ROUNDS`` min-hashes are compared with one leader per min-hash
-   (never with each other); links found so join classes into groups of similar documents.
+1. Grouping. Classes that share one of ``ROUNDS`` min-hashes are compared with a leader per min-hash
+   (never with each other), if they agree in ``AGREE`` of them; links found so join classes into groups
+   of similar documents. Leaders are the classes whose min-hashes are the most common ones: edited copies
+   of a text are nearer to it than to each other. Those still apart are then compared with ``LEADERS``
+   more per min-hash.
 2. Matrix. Of every set of n, the n - ceil(0.8 n) + k tokens that come first in one fixed order are
    listed; two similar sets have at least k listed tokens in common (k is ``overlap(n)``). A group's row of the matrix is the union of its
    members' listed tokens. The order puts tokens that are frequent in the corpus last.
@@ -37,7 +40,9 @@ from offerloom.sources.tables import discard, stage
 
 WORDS = 5
 PERCENT = 80
-ROUNDS = 4
+ROUNDS = 8
+AGREE = 5
+LEADERS = 8
 FREQUENT = 1 << 19
 BITMAP_BITS = 24
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) & ((1 << 64) - 1) for i in range(ROUNDS)], np.uint64)
@@ -136,6 +141,40 @@ def _size_fits(n, low, high):
     return (100 * F.col(n) >= PERCENT * F.col(low)) & (100 * F.col(high) >= PERCENT * F.col(n))
 
 
+def _with_central(classes: DataFrame) -> DataFrame:
+    """Add ``central``: how many classes share a min-hash with this one, summed over the min-hashes."""
+    spread = classes.select("sid", F.posexplode("lows").alias("round", "low"))
+    sizes = spread.groupBy("round", "low").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    central = spread.join(sizes, ["round", "low"]).groupBy("sid").agg(F.sum("m").alias("central"))
+    return classes.join(central, "sid", "left").fillna(0, "central")
+
+
+def _stars(nodes: DataFrame, leaders: int) -> DataFrame:
+    """Pairs (a, b) of classes that are worth a comparison: b shares a min-hash with a leader a.
+
+    Each min-hash has ``leaders`` leaders at most, so the pairs grow with the classes, however many
+    of them share one. Classes that are connected already are left out.
+    """
+    low_bytes = "aggregate(transform(lows, (x, i) -> shiftleft(x & 255L, 8 * i)), 0L, (s, x) -> s | x)"
+    spread = nodes.withColumn("sketch", F.expr(low_bytes)).select(
+        "sid", "n", "central", "component", "sketch", F.posexplode("lows").alias("round", "low")
+    )
+    slot = F.pmod(F.xxhash64("round", "sid"), F.lit(leaders))
+    one = F.struct((-F.col("central")).alias("rank"), F.xxhash64("sid", "round").alias("h"), "sid", "n", "component", "sketch")
+    found = spread.groupBy("round", "low").agg(
+        F.count("*").alias("m"), *[F.min(F.when(slot == i, one)).alias(f"l{i}") for i in range(leaders)]
+    )
+    found = found.where(F.col("m") > 1).select("round", "low", F.explode(F.array(*[f"l{i}" for i in range(leaders)])).alias("l"))
+    found = found.where(F.col("l").isNotNull()).select(
+        "round", "low", F.col("l.sid").alias("a"), F.col("l.n").alias("na"), F.col("l.component").alias("ca"), F.col("l.sketch").alias("sa")
+    )
+    differ = F.col("sketch").bitwiseXOR(F.col("sa"))
+    same = sum((F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(ROUNDS))
+    apart = (F.col("component") != F.col("ca")) & (same >= AGREE) & _size_fits("n", "na", "na")
+    pairs = spread.join(found, ["round", "low"]).where(apart)
+    return pairs.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
+
+
 def token_bitmap(tokens: DataFrame) -> np.ndarray:
     """One bit for the low bits of each token: 2 ** (BITMAP_BITS - 3) bytes, however many tokens."""
     low = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
@@ -162,15 +201,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = described.where(F.col("sid").isNotNull()).groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.min("lows").alias("lows")
     )
-    nodes = stage(classes, "classes")
+    classes = stage(classes, "classes")
+    nodes = stage(_with_central(classes), "central-classes")
+    discard(classes)
 
     # 1. groups of similar documents around leaders
-    spread = nodes.select("sid", "n", F.posexplode("lows").alias("round", "low"))
-    leaders = spread.groupBy("round", "low").agg(F.min(F.struct("sid", "n")).alias("first"), F.count("*").alias("m"))
-    leaders = leaders.where(F.col("m") > 1).select("round", "low", F.col("first.sid").alias("a"), F.col("first.n").alias("na"))
-    stars = spread.join(leaders, ["round", "low"]).where((F.col("sid") != F.col("a")) & _size_fits("n", "na", "na"))
-    links = _linked(stars.select("a", F.col("sid").alias("b")).distinct(), documents, nodes)
-    grouped = stage(_with_components(nodes, links), "groups")
+    links = _linked(_stars(nodes.withColumn("component", F.col("sid")), 1), documents, nodes)
+    first = stage(_with_components(nodes, links), "first-groups")
+    links = links.unionByName(_linked(_stars(first, LEADERS), documents, nodes))
+    grouped = stage(_with_components(nodes, links).drop("lows", "central"), "groups")
+    discard(first)
 
     # 2. listed tokens of every class, with its group
     shared = spark.sparkContext.broadcast(_frequent(described))
