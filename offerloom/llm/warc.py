@@ -2,15 +2,15 @@
 
 Pages become WARC response records. Records are packed in order into archives of some
 ``ARCHIVE_BYTES`` bytes; each has an offset and a length in its archive. The leaf of a record is the
-SHA-256 of its place and bytes; an inner node hashes its ``FANOUT`` children and covers the range of
+SHA-256 of its place and the digest of its bytes; an inner node hashes its ``FANOUT`` children and covers the range of
 offsets from its first to its last record; the top node of an archive is its root.
 
 An audit compares the roots of two replicas. Only below roots that differ it compares their children,
 and so on down to the records: what agrees higher up is never looked at again. It reports every record
 that is changed, missing or extra, with its offsets in both replicas.
 
-Order and offsets come from a range partitioning by key and a running sum over one row per partition,
-so no task sees all records. A tree level is one pre-aggregated group-by over FANOUT children.
+Order and offsets come from one range partitioning by key and digest and a running sum over one row per
+partition, so no task sees all records. A tree level is one pre-aggregated group-by over FANOUT children.
 
 Defined results: null url or html count as empty; pages without id come first; repeated rows are
 records of their own; an empty table has no archives. Records of one archive in two replicas are
@@ -23,12 +23,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from offerloom.llm.common import ship
-from offerloom.sources.tables import stage
+from offerloom.sources.tables import discard, stage
 
 FANOUT = 16
 ARCHIVE_BYTES = 1 << 24
@@ -52,50 +55,74 @@ def record_of(url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def ordered_offsets(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Add ``position`` and ``begin`` (rows and bytes before this one) in the order of the keys.
+def ordered_offsets(rows: DataFrame, keys: list[str], size: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``position`` and ``begin`` (rows and bytes before each) in the order of the keys.
 
-    ``rows`` has to be a staged table. Its order in each range is a sort; what lies before a range is
-    a running sum over one row per range.
+    The rows are range-partitioned, sorted, counted in that order and staged in one stage, so they are
+    shuffled once. What lies before a range is a running sum over one row per range. Rows that agree
+    in all keys are told apart by a row number, so that no range has to hold all copies of one row.
+    Also returns the staged table, for ``discard``.
     """
     spark = rows.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__range", F.spark_partition_id())
-    ranged = stage(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    numbered = rows.withColumn("__nr", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(n, *keys, "__nr").sortWithinPartitions(*keys, "__nr").drop("__nr")
+    ranged = ranged.withColumn("__range", F.spark_partition_id())
+    ship(spark)
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = total = 0
+        for part in parts:
+            sizes = part.column(size).to_numpy()
+            upto = total + np.cumsum(sizes)
+            columns = dict(zip(part.schema.names, part.columns))
+            columns |= {"__i": pa.array(np.arange(seen, seen + part.num_rows)), "__b": pa.array(upto - sizes)}
+            yield pa.RecordBatch.from_pydict(columns)
+            seen, total = seen + part.num_rows, int(upto[-1]) if part.num_rows else total
+
+    schema = StructType([*ranged.schema.fields, StructField("__i", LongType()), StructField("__b", LongType())])
+    ranged = stage(ranged.mapInArrow(counted, schema), "ranges")
     sums = ranged.groupBy("__range").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    sums = sums.select(
-        "__range",
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__rows"),
-        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("__bytes"),
-    )
-    inside = Window.partitionBy("__range").orderBy("__at")
-    placed = ranged.withColumns(
-        {"__i": F.row_number().over(inside) - 1, "__b": F.sum(size).over(inside) - F.col(size)}
+    sums = stage(
+        sums.select(
+            "__range",
+            F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__rows"),
+            F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("__bytes"),
+        ),
+        "range-sums",
     )
-    return placed.join(sums, "__range").select(
+    placed = ranged.join(F.broadcast(sums), "__range").select(  # one row per range
         *rows.columns,
-        (F.col("__rows") + F.col("__i")).cast("bigint").alias("position"),
-        (F.col("__bytes") + F.col("__b")).cast("bigint").alias("begin"),
+        (F.col("__rows") + F.col("__i")).alias("position"),
+        (F.col("__bytes") + F.col("__b")).alias("begin"),
     )
+    return placed, ranged
 
 
-def archive(pages: DataFrame) -> DataFrame:
-    """page_id, archive, position in it, offset, length and content of every record, archives in key order."""
+def _archived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
-    records = pages.select("page_id", record_of(url, html).alias("content"))
-    records = stage(records.withColumn("length", F.octet_length("content").cast("bigint")), "records")
-    placed = ordered_offsets(records, ["page_id", "content"], "length")
+    records = pages.select("page_id", record_of(url, html).alias("content")).withColumns(
+        {"length": F.octet_length("content").cast("bigint"), "record_sha256": F.sha2("content", 256)}
+    )
+    placed, ranged = ordered_offsets(records, ["page_id", "record_sha256"], "length")
     placed = placed.withColumn("archive", F.floor(F.col("begin") / ARCHIVE_BYTES))
     starts = placed.groupBy("archive").agg(F.min("position").alias("p0"), F.min("begin").alias("b0"))
-    return placed.join(starts, "archive").select(
+    records = placed.join(stage(starts, "archive-starts"), "archive").select(
         "page_id",
         "archive",
         (F.col("position") - F.col("p0")).alias("position"),
         (F.col("begin") - F.col("b0")).alias("offset"),
         "length",
+        "record_sha256",
         "content",
     )
+    return records, ranged
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """page_id, archive, position in it, offset, length, digest and content of every record, in key order."""
+    return _archived(pages)[0]
 
 
 def parse_record(content: bytes) -> tuple[str | None, bytes | None, bool]:
@@ -139,10 +166,11 @@ def read_warc(spark, path: str) -> DataFrame:
     return files.mapInPandas(records, "archive string, position bigint, offset bigint, length bigint, content binary")
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """Level 0 of the trees: one node per record."""
+def leaves(records: DataFrame, digest: Column | None = None) -> DataFrame:
+    """Level 0 of the trees: one node per record. Without a stated digest the content is hashed."""
     place = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"))
-    digest = F.sha2(F.concat(F.concat(place, F.lit("\n")).cast("binary"), F.col("content")), 256)
+    content = F.sha2("content", 256) if digest is None else digest
+    digest = F.sha2(F.concat_ws("\n", place, content), 256)
     return records.select(
         "archive",
         F.lit(0).alias("level"),
@@ -153,9 +181,9 @@ def leaves(records: DataFrame) -> DataFrame:
     )
 
 
-def tree(records: DataFrame) -> DataFrame:
+def tree(records: DataFrame, digest: Column | None = None) -> DataFrame:
     """All nodes of all archives: archive, level, node, offset, end, hash. The top level has one node each."""
-    level = stage(leaves(records), "tree-level")
+    level = stage(leaves(records, digest), "tree-level")
     levels = [level]
     most = level.agg(F.max("node")).first()[0]
     while most:
@@ -205,6 +233,8 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             F.col("r.end").alias("replica_end"),
         )
         differ = stage(differ, "mismatches")
+        if differ.isEmpty():
+            break
         branch = differ.select("archive", F.col("node").alias("parent"))
     return differ.withColumnRenamed("node", "position")
 
@@ -212,29 +242,19 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 def fixity(pages: DataFrame) -> DataFrame:
     """Archive the pages, store a replica, read it back and audit it: one row per record.
 
-    The tree of the primary is built from the records as they are made, that of the replica from the
-    stored bytes; ``state`` is intact, or what the audit found.
+    The primary keeps the digests taken when its records were made; the replica's stored bytes are
+    hashed anew. ``state`` is intact, or what the audit found.
     """
-    records = archive(pages)
+    records, ranged = _archived(pages)
     replica = stage(records, "replica")
-    own, other = tree(records), tree(replica)
-    own = stage(own, "primary-tree")
+    own, other = tree(records, F.col("record_sha256")), tree(replica)
+    discard(ranged)
     found = audit(own, other).select("archive", "position", "state")
     tops = own.groupBy("archive").agg(F.max_by("hash", F.struct("level", "node")).alias("root"))
-    nodes = own.where(F.col("level") == 0).select("archive", F.col("node").alias("position"), F.col("hash").alias("record_sha256"))
-    rows = replica.select("page_id", "archive", "position", "offset", "length")
+    rows = replica.select("page_id", "archive", "position", "offset", "length", "record_sha256")
     return (
-        rows.join(nodes, ["archive", "position"])
-        .join(tops, "archive")
+        rows.join(tops, "archive")
         .join(found, ["archive", "position"], "left")
-        .select(
-            "page_id",
-            "archive",
-            "position",
-            "offset",
-            "length",
-            "record_sha256",
-            "root",
-            F.coalesce("state", F.lit("intact")).alias("state"),
-        )
+        .withColumn("state", F.coalesce("state", F.lit("intact")))
+        .select("page_id", "archive", "position", "offset", "length", "record_sha256", "root", "state")
     )
