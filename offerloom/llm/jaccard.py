@@ -10,9 +10,13 @@ Jaccard similarity of their sets is at least ``PERCENT`` %. Documents with equal
    more per min-hash.
 2. Matrix. Of every set of n, the n - ceil(0.8 n) + k tokens that come first in one fixed order are
    listed; two similar sets have at least k listed tokens in common (k is ``overlap(n)``). A group's row of the matrix is the union of its
-   members' listed tokens. The order puts tokens that are frequent in the corpus last.
-3. Bound. A document can only link to a member of a group if enough of its listed tokens are in the
-   group's row and the group's range of set sizes allows it. Tokens of a single group are dropped at once.
+   members' listed tokens. The order puts tokens that are frequent in the corpus last. Listed tokens
+   of a single group are dropped at once; the rest of a set is its *usable* tokens.
+3. Bound. Of two sets, take the one whose list ends first in the order: those of its listed tokens that
+   are in the other set are listed there too. So the two share at most the listed tokens that they have
+   in common and the unlisted ones of that set, and at most its usable tokens. A document can only link
+   to a member of a group if enough of its listed tokens are in the group's row and one of the two has
+   the usable tokens that their sizes ask for.
 4. Opening. Only documents and groups that pass are compared, member by member, on the whole sets.
 
 Links inside a group need no further comparison, as its members are connected already. So no link
@@ -89,10 +93,26 @@ def overlap(n: int) -> int:
     return 3 + n // 16
 
 
-def _least_overlap(n: str):
-    """The same, as a bound for a document and any similar one, which may be smaller by a fifth."""
-    smaller = F.ceil(F.col(n) * PERCENT / 100)
-    return F.least(3 + F.floor(smaller / 16), smaller)
+def _enough_usable(n, usable, low, other_usable):
+    """Two sets share no more than the usable tokens of one of them; ``low`` is the other's least size."""
+    least = F.greatest(20 * F.col(low), 16 * F.col(n))  # the other has 80 % of this size at least
+    return 45 * F.greatest(usable, other_usable) >= 20 * F.col(n) + least
+
+
+def _unlisted(n):
+    return F.greatest(F.ceil(F.col(n) * PERCENT / 100) - 3 - F.floor(F.col(n) / 16), F.lit(0))
+
+
+def _met_enough(n, low, high):
+    """``met`` listed tokens can do for a set of ``n`` and some set of ``low`` to ``high`` tokens.
+
+    Similar sets of n and m share 4/9 (n + m) tokens, and all but the unlisted ones of one of them are
+    met. A set of m leaves less than 531/720 m unlisted.
+    """
+    n, low, high, met = map(F.col, (n, low, high, "met"))
+    own = 320 * n + F.greatest(320 * low, 256 * n) - 720 * _unlisted("n")
+    others = 320 * n - F.least(211 * high, 264 * n)
+    return 720 * met >= F.least(own, others)
 
 
 def listed(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -245,30 +265,35 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
             low = tokens & ((1 << BITMAP_BITS) - 1)
             on = (marks.value[low >> 6] >> (low & 63)) & 1 == 1
-            at = pa.array(owner[on])
-            yield pa.RecordBatch.from_pydict(
-                {**{c: part.column(c).take(at) for c in ("sid", "n", "grp")}, "token": pa.array(tokens[on])}
-            )
+            n = part.column("n").to_numpy()
+            usable = n - np.bincount(owner[~on], minlength=part.num_rows)
+            at = owner[on]
+            kept = {c: part.column(c).take(pa.array(at)) for c in ("sid", "n", "grp")}
+            yield pa.RecordBatch.from_pydict({**kept, "usable": pa.array(usable[at]), "token": pa.array(tokens[on])})
 
     ship(spark)
-    meeting = prefix.mapInArrow(only_contested, "sid bigint, n bigint, grp bigint, token bigint")
+    meeting = prefix.mapInArrow(only_contested, "sid bigint, n bigint, grp bigint, usable bigint, token bigint")
     meeting = stage(meeting.distinct(), "contested-tokens")
     discard(prefix)
-    sizes = grouped.groupBy(F.col("component").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    members = stage(
+        meeting.select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("usable").alias("ub")).distinct(),
+        "members",
+    )
+    sizes = members.groupBy("other").agg(F.min("nb").alias("least"), F.max("nb").alias("most"), F.max("ub").alias("best"))
     matrix = meeting.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other")
     bounded = (
         meeting.join(matrix, "token")
-        .where((F.col("grp") < F.col("other")) & _size_fits("n", "least", "most"))
-        .groupBy("sid", "n", "other")
+        .where((F.col("grp") < F.col("other")) & _size_fits("n", "least", "most") & _enough_usable("n", "usable", "least", "best"))
+        .groupBy("sid", "n", "usable", "other", "least", "most")
         .agg(F.count("*").alias("met"))  # rows of both sides are distinct, so these are distinct tokens
-        .where(F.col("met") >= _least_overlap("n"))
+        .where(_met_enough("n", "least", "most"))
     )
 
     # 4. open the groups that are left
-    members = grouped.select(F.col("component").alias("other"), F.col("sid").alias("b"), F.col("n").alias("nb"))
-    opened = bounded.join(members, "other").where(_size_fits("n", "nb", "nb")).select(F.col("sid").alias("a"), "b")
+    fits = _size_fits("n", "nb", "nb") & _enough_usable("n", "usable", "nb", "ub") & _met_enough("n", "nb", "nb")
+    opened = bounded.join(members, "other").where(fits).select(F.col("sid").alias("a"), "b")
     more = _linked(opened, documents, nodes)
-    discard(meeting)
+    discard(meeting, members)
     final = _with_components(nodes, links.unionByName(more))
     smallest = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage(final.join(smallest, "component").select("sid", "component_id"), "components")
