@@ -94,16 +94,14 @@ def positive_rate(df: DataFrame, column: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column_name", "value"
-    )
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    measures = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    wide = numeric.agg(*[f(c).alias(f"{c}|{name}") for c in columns for name, f in measures.items()])
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}|{name}`").alias(name) for name in measures])
+        for c in columns
+    ]
+    moments = wide.select(F.inline(F.array(*cells)))
     quartiles = quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return moments.join(quartiles, "column_name", "left").select(
         "column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max"

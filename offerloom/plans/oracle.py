@@ -8,7 +8,7 @@ AMOUNTS = ["selling_price", "other_discount", "coupon_discount"]
 # The campaign tables, written as views over the order and line-item tables.
 VIEWS = {
     "fx_impression": """
-        select customer_id*1000000 + coupon_id*100 + campaign_id as id, campaign_id, coupon_id, customer_id,
+        select customer_id*10000000000 + coupon_id*100 + campaign_id as id, campaign_id, coupon_id, customer_id,
           case when campaign_id <= 18
                then max(case when l_returnflag = 'R' and l_quantity <= 2 then 1 else 0 end) end as redemption_status,
           case when campaign_id <= 18 then 'train' else 'test' end as source

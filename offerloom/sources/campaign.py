@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import schemas
@@ -80,6 +80,17 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.SUBMISSION).select("id")
 
 
+def impression_id(customer: Column, coupon: Column, campaign: Column) -> Column:
+    """One number per impression: ten digits for coupon and campaign, the rest for the customer.
+
+    A coupon or campaign that does not fit stops the query, and so does an overflow, so that two
+    impressions never share an id.
+    """
+    fits = coupon.between(0, 10**8 - 1) & campaign.between(0, 99)
+    number = customer.cast("long") * F.lit(10**10) + coupon * 100 + campaign
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("coupon or campaign does not fit into the id")))
+
+
 def from_star_schema(spark: SparkSession, folder: str) -> CampaignData:
     """Campaign tables derived from order and line-item tables in ``folder``.
 
@@ -111,7 +122,7 @@ def from_star_schema(spark: SparkSession, folder: str) -> CampaignData:
         .groupBy("campaign_id", "coupon_id", "customer_id")
         .agg(F.max("redeemed").alias("redeemed"))
         .select(
-            (F.col("customer_id") * 1000000 + F.col("coupon_id") * 100 + F.col("campaign_id")).alias("id"),
+            impression_id(F.col("customer_id"), F.col("coupon_id"), F.col("campaign_id")).alias("id"),
             "campaign_id",
             "coupon_id",
             "customer_id",

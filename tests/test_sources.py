@@ -1,11 +1,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerloom import schemas, session
 from offerloom.plans import prepare
 from offerloom.sources import campaign, tables
+from offerloom.sources.campaign import impression_id
 
 FILES = {
     "train": "id,campaign_id,coupon_id,customer_id,redemption_status\n1,13,27,1,0\n2,13,28,2,1\n4,14,27,3,0\n",
@@ -113,3 +115,14 @@ def test_the_cluster_folder_is_used_and_required(tmp_path):
     Context.master = "spark://cluster:7077"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_impression_ids_stay_apart_with_many_coupons(spark):
+    keys = spark.range(2).select((F.col("id") + 1).alias("customer")).crossJoin(
+        spark.range(9_990, 10_020).select(F.col("id").alias("coupon"))
+    )
+    ids = keys.select(impression_id(F.col("customer"), F.col("coupon"), F.lit(3)).alias("id"))
+    assert ids.distinct().count() == 60
+    far = spark.range(1).select(impression_id(F.lit(1), F.lit(10**8), F.lit(3)).alias("id"))
+    with pytest.raises(Exception, match="does not fit"):
+        far.collect()
