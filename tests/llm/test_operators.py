@@ -212,3 +212,23 @@ def test_chain_helpers_against_plain_ones():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert passages.common_words(a, b) == table[-1][-1]
+
+
+def test_edited_copies_near_the_threshold_keep_their_links(spark):
+    drawn, texts = random.Random(4), []
+    base = prose(20, 140).split()
+    for i in range(60):
+        words = list(base)
+        for k in range(drawn.randint(0, 5)):
+            words[drawn.randrange(len(words))] = f"edit{i}x{k}"
+        texts.append(" ".join(words))
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    parent = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(rows).collect()} == dict(enumerate(parent))
