@@ -203,6 +203,19 @@ def test_fuzzy_passage_and_clean_texts(spark):
     assert {(r["doc_id"], r["other_id"]) for r in found} == {(1, 2), (2, 1)}
 
 
+def test_exact_passages_on_both_sides_of_a_gap(spark):
+    rows, want = [], []
+    for n, (length, gap, other_gap) in enumerate([(60, 40, 40), (60, 60, 60), (60, 100, 100), (200, 150, 150), (80, 0, 200)]):
+        head, tail = prose(100 + n, length), prose(200 + n, length)
+        rows.append((2 * n, f"{head} {prose(300 + n, gap)} {tail}"))
+        rows.append((2 * n + 1, f"{head} {prose(400 + n, other_gap)} {tail}"))
+        want += [(2 * n, 0, length), (2 * n, length + gap, 2 * length + gap)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for doc, start, end in want:
+        assert any(r["doc_id"] == doc and r["start"] <= start and r["end"] >= end for r in found)
+    assert all(r["identity"] >= 0.8 for r in found)
+
+
 def test_chain_helpers_against_plain_ones():
     drawn = random.Random(1)
     for _ in range(50):
