@@ -216,6 +216,28 @@ def test_exact_passages_on_both_sides_of_a_gap(spark):
     assert all(r["identity"] >= 0.8 for r in found)
 
 
+def test_passages_of_recurring_lines(spark):
+    line, refrain = prose(30, 33), prose(31, 12)
+    song = lambda seed: " ".join(f"{prose(seed + i, 9)} {refrain}" for i in range(8))
+    repeated = [
+        " ".join(["la"] * 70),  # one word
+        " ".join(["la di da"] * 40),
+        " ".join([line] * 4),
+        song(500),
+        f"{prose(32, 40)} {line} {prose(33, 40)}",  # the line stands alone earlier in the second document
+    ]
+    rows = []
+    for n, passage in enumerate(repeated):
+        rows.append((2 * n, f"{prose(600 + n, 80)} {passage}"))
+        rows.append((2 * n + 1, f"{line if n == 4 else ''} {prose(700 + n, 120)} {passage} {prose(800 + n, 10)}"))
+    rows = rows[:2] + [(k + 100, t.replace("la", "do").replace("di", "re")) for k, t in rows[2:4]] + rows[4:]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for n, passage in enumerate(repeated):
+        doc, length = (102 if n == 1 else 2 * n), len(passage.split())
+        covered = {i for r in found if r["doc_id"] == doc for i in range(r["start"], r["end"])}
+        assert set(range(80, 80 + length)) <= covered, n
+
+
 def test_chain_helpers_against_plain_ones():
     drawn = random.Random(1)
     for _ in range(50):
