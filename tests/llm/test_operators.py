@@ -238,6 +238,18 @@ def test_passages_of_recurring_lines(spark):
         assert set(range(80, 80 + length)) <= covered, n
 
 
+def test_passage_whose_parts_are_common_elsewhere(spark):
+    rows = []
+    for trial in range(12):
+        one, two = prose(1000 + trial, 30), prose(2000 + trial, 30)
+        texts = [f"{prose(3000 + 10 * trial + i, 70)} {one} {two} {prose(4000 + 10 * trial + i, 70)}" for i in range(2)]
+        texts += [f"{prose(5000 + 100 * trial + i, 50)} {(one, two)[i % 2]} {prose(9000 + 100 * trial + i, 50)}" for i in range(30)]
+        rows += [(100 * trial + i, text) for i, text in enumerate(texts)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    named = {(r["doc_id"], r["other_id"]) for r in found if r["start"] <= 70 and r["end"] >= 130}
+    assert {(100 * t, 100 * t + 1) for t in range(12)} | {(100 * t + 1, 100 * t) for t in range(12)} <= named
+
+
 def test_chain_helpers_against_plain_ones():
     drawn = random.Random(1)
     for _ in range(50):
