@@ -11,7 +11,8 @@ Kinds, in order: ``assign`` (a name such as password or api_key, a colon or equa
 characters), ``access`` (AKIA and 14 or more capitals or digits), ``hex`` (16 or more digits a-f, 0-9).
 
 Defined results: null is the empty text without spans; a range found in several layers is listed once;
-escapes that are no UTF-8 and runs that decode to anything but readable text stay as they are.
+single escapes that are no UTF-8 or half a pair stay as they are, those around them are decoded; bytes are
+decoded with replacement and scanned if they hold ``LEAST_ASCII`` ASCII characters in a row.
 Compressed data that inflate to more than ``MOST_INFLATED`` bytes are not opened, and the row counts
 them in ``n_unopened``. Rows are independent of each other; columns beside doc_id and text are ignored.
 """
@@ -45,6 +46,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 # 16 bytes are the least that can hold a secret
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+# the shortest secret has 16 characters
+LEAST_ASCII = 16
+_ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % LEAST_ASCII)
 _STANDARD = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -84,33 +88,38 @@ class Layer:
 
 def _percent_piece(escaped: str) -> list[tuple[str, int, int]] | None:
     """Characters of a run of percent escapes with their ranges in the run."""
-    try:
-        decoded = bytes.fromhex(escaped.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
+    decoded = bytes.fromhex(escaped.replace("%", "")).decode("utf-8", "surrogateescape")
+    out, at, changed = [], 0, False
     for c in decoded:
+        if 0xDC80 <= ord(c) <= 0xDCFF:  # a byte that is no UTF-8
+            out += [(escaped[i], i, i + 1) for i in range(at, at + 3)]
+            at += 3
+            continue
         width = 3 * len(c.encode())
         out.append((c, at, at + width))
         at += width
-    return out
+        changed = True
+    return out if changed else None
 
 
 def _unicode_piece(escaped: str) -> list[tuple[str, int, int]] | None:
     """Characters of a run of 16-bit escapes; surrogates that pair up are one character."""
     units = [int(escaped[i + 2 : i + 6], 16) for i in range(0, len(escaped), 6)]
-    out, i = [], 0
+    out, i, changed = [], 0, False
     while i < len(units):
         pair = 0xD800 <= units[i] < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000
         if pair:
             code = 0x10000 + ((units[i] - 0xD800) << 10) + units[i + 1] - 0xDC00
         elif 0xD800 <= units[i] < 0xE000:
-            return None
+            out += [(escaped[k], k, k + 1) for k in range(6 * i, 6 * i + 6)]
+            i += 1
+            continue
         else:
             code = units[i]
+        changed = True
         out.append((chr(code), 6 * i, 6 * (i + 1 + pair)))
         i += 1 + pair
-    return out
+    return out if changed else None
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, piece) -> Layer | None:
@@ -180,11 +189,7 @@ def _inflate(data: bytes) -> bytes | None:
 
 
 def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r\f\v" for c in text) else None
+    return data.decode("utf-8", "replace") if _ASCII.search(data) else None
 
 
 def _base64_text(run: str) -> str | None:

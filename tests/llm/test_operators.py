@@ -108,6 +108,19 @@ def test_secrets_under_layers():
     assert secrets.as_text(secrets.find("AKIAABCDEFGHIJKLMN 0123456789abcdef")[0]) == "access:0:18,hex:19:35"
 
 
+def test_secrets_beside_unusual_characters_and_faults():
+    secret = "password=abcdef123456XY"
+    for mark in ("\u00a0", "\u3000", "\u200b", "\u200d", "\u00ad", "\ufeff", "\0", "\x07"):
+        text = base64.b64encode(f"{mark} {secret} {mark}".encode()).decode()
+        assert secrets.find(text)[1] and text not in secrets.redact(text)
+    escaped = "".join(f"%{b:02X}" for b in secret.encode())
+    units = "".join(f"\\u{ord(c):04x}" for c in secret)
+    broken = base64.b64encode(b"\xff\xfe " + secret.encode() + b" \xe3").decode()
+    for text in (f"%FF{escaped}%C3", f"\\ud800{units}\\udc00", broken, base64.b64encode(gzip.compress(b"\xff" + secret.encode())).decode()):
+        assert secrets.find(text)[1], text
+    assert secrets.find("%FF%FE " * 20 + "\\ud800")[1] == []
+
+
 def test_base_spans_of_the_corpus_follow_their_patterns(documents):
     assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for row in documents.select("text").collect():
