@@ -2,7 +2,10 @@
 
 A worklist starts with the text itself. Each layer is scanned, and every way to unwrap it gives new
 layers: percent escapes and Unicode escapes are replaced in place, base64 runs become layers of their
-own, and base64 bytes that are compressed (gzip, zlib, bz2, xz, also several times over) are inflated.
+own, and bytes in base64 or percent escapes that are compressed (gzip, zlib, bz2, xz, also several times
+over or one after the other) are inflated, wherever in the bytes they start. Base64 is decoded from each
+of the first four characters of its run, so that it need not start the run, and also across single line
+breaks; what is found is reported as the range from there to the end of the run.
 Unwrapping goes on until no new layer appears; a layer that has been seen at the same place of the
 text is not taken again, so cycles end. Every character of a layer knows the code points of the
 original text that it came from, and a hit is reported as that range.
@@ -20,7 +23,6 @@ them in ``n_unopened``. Rows are independent of each other; columns beside doc_i
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -29,6 +31,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,11 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 # the shortest secret has 16 characters
 LEAST_ASCII = 16
 _ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % LEAST_ASCII)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAKS = re.compile(r"\s+")
+# bytes in percent escapes, with the characters that need none between them
+_ESCAPED = re.compile(r"[!-~]+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78][\0-\xff]")
 _STANDARD = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -167,8 +175,8 @@ class TooLarge(Exception):
     pass
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Data of a known compressed format, inflated; None for anything else."""
+def _inflate(data: memoryview, room: int) -> tuple[bytes, int] | None:
+    """A compressed stream that starts the data, inflated, and its length; None for anything else."""
     if data[:2] == b"\x1f\x8b":
         tool = zlib.decompressobj(31)
     elif len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
@@ -180,37 +188,83 @@ def _inflate(data: bytes) -> bytes | None:
     else:
         return None
     try:
-        out = tool.decompress(data, MOST_INFLATED + 1)
+        out = tool.decompress(data, room + 1)
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
-    if len(out) > MOST_INFLATED:
+    if len(out) > room:
         raise TooLarge
-    return out if tool.eof else None
+    return (out, len(data) - len(tool.unused_data)) if tool.eof else None
+
+
+def _inflated(data: bytes) -> tuple[list[bytes], bool]:
+    """What is compressed in the data, streams that follow each other as one, and whether some is too large."""
+    found: list[bytes] = []
+    view, at, too_large = memoryview(data), 0, False
+    while match := _MAGIC.search(data, at):
+        at, parts, room = match.start(), [], MOST_INFLATED
+        try:
+            while (stream := _inflate(view[at:], room)) is not None:
+                parts.append(stream[0])
+                at, room = at + stream[1], room - len(stream[0])
+                while at < len(data) and not data[at]:  # padding between members
+                    at += 1
+        except TooLarge:
+            too_large = True
+            at += 1
+        if parts:
+            found.append(b"".join(parts))
+        else:
+            at = max(at, match.start() + 1)
+    return found, too_large
 
 
 def _readable(data: bytes) -> str | None:
     return data.decode("utf-8", "replace") if _ASCII.search(data) else None
 
 
-def _base64_text(run: str) -> str | None:
-    """Readable text under base64 and any number of compressed layers."""
-    body = run.rstrip("=").translate(_STANDARD)
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while True:
+def _opened(data: bytes, itself: bool) -> tuple[list[str], bool]:
+    """Readable texts under any number of compressed layers, of the bytes ``itself`` too, and whether some is too large."""
+    texts, too_large, waiting, seen = [], False, [data], set()
+    while waiting:
+        data = waiting.pop()
         mark = hashlib.sha256(data).digest()
         if mark in seen:  # data that inflate to themselves
-            return None
+            continue
         seen.add(mark)
-        inner = _inflate(data)
-        if inner is None:
-            return _readable(data)
-        data = inner
+        if (itself or len(seen) > 1) and (text := _readable(data)) is not None:
+            texts.append(text)
+        inner, more = _inflated(data)
+        waiting += inner
+        too_large |= more
+    return texts, too_large
+
+
+def _from_base64(run: str) -> Iterator[tuple[int, bytes]]:
+    """The bytes of a run decoded from each of its first four characters."""
+    body = run.rstrip("=").translate(_STANDARD)
+    for begin in range(4):
+        part = body[begin:]
+        part = part[: len(part) - (len(part) % 4 == 1)]  # one character is no byte
+        if len(part) >= 22:
+            yield begin, base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _encoded(text: str) -> Iterator[tuple[int, int, bytes, bool]]:
+    """Start, end and bytes of all that may be base64, or of percent escapes, which are read in place unless compressed."""
+    for match in _BASE64.finditer(text):
+        for begin, data in _from_base64(match.group()):
+            yield match.start() + begin, match.end(), data, True
+    for match in _WRAPPED.finditer(text):
+        for begin, data in _from_base64(_BREAKS.sub("", match.group())):
+            begin = 0 if _BREAKS.search(match.group()[: begin + 1]) else begin
+            yield match.start() + begin, match.end(), data, True
+    if "%" in text:
+        for match in _ESCAPED.finditer(text):
+            if _PERCENT.search(match.group()):
+                data = unquote_to_bytes(match.group())
+                yield match.start(), match.end(), data, False
+                if "+" in match.group():  # a space in forms
+                    yield match.start(), match.end(), unquote_to_bytes(match.group().replace("+", " ")), False
 
 
 def layers(text: str) -> Iterator[Layer | None]:
@@ -224,14 +278,13 @@ def layers(text: str) -> Iterator[Layer | None]:
             fresh.append(_replaced(layer, _PERCENT, _percent_piece))
         if "\\u" in layer.text:
             fresh.append(_replaced(layer, _UNICODE, _unicode_piece))
-        for match in _BASE64.finditer(layer.text):
-            try:
-                inner = _base64_text(match.group())
-            except TooLarge:
-                yield None
-                continue
-            if inner is not None:
-                fresh.append(Layer(inner, whole=layer.origin(match.start(), match.end())))
+        closed = set()
+        for start, end, data, itself in _encoded(layer.text):
+            texts, too_large = _opened(data, itself)
+            if too_large:
+                closed.add(end)
+            fresh += [Layer(inner, whole=layer.origin(start, end)) for inner in texts]
+        yield from [None] * len(closed)
         for new in fresh:
             if new is not None and new.text and (key := new.key()) not in seen:
                 seen.add(key)

@@ -1,12 +1,15 @@
 """Corpus operators on small tables: brute force, round trips, and the cases that each docstring defines."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -121,6 +124,29 @@ def test_secrets_beside_unusual_characters_and_faults():
     assert secrets.find("%FF%FE " * 20 + "\\ud800")[1] == []
 
 
+def test_secrets_inside_longer_runs_wrapped_and_in_members():
+    drawn = random.Random(8)
+    secret = "password=abcdef123456XY"
+    plain = base64.b64encode(secret.encode()).decode()
+    noise = "".join(drawn.choices("ghijklmnop qrstuvw", k=400)).encode()
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        packed = pack(noise + b" " + secret.encode())
+        blob = base64.b64encode(packed).decode()
+        wrapped = base64.encodebytes(packed).decode().strip()
+        escaped = "".join(f"%{b:02X}" for b in packed)
+        for text in (f"https://h/path/{blob}", f"key_{blob}", f"id-{blob}", f"abc{blob}", wrapped, wrapped.replace("\n", "\r\n  "), escaped):
+            assert secrets.find(text)[1], (pack, text)
+            assert text[-60:] not in secrets.redact(f"{text} end")
+        assert secrets.find(urllib.parse.quote(packed))[1]
+    for head in ("https://h/path/", "key_", "id-", "abc", "x"):
+        assert secrets.find(head + plain)[1] and plain not in secrets.redact(head + plain)
+    assert secrets.find(plain[:12] + "\n" + plain[12:])[1]
+    members = gzip.compress(b"first") + gzip.compress(secret[:9].encode()) + gzip.compress(secret[9:].encode())
+    assert secrets.find(base64.b64encode(members).decode())[1]
+    assert secrets.find(("plain words of a text\n" * 30) + "z" * 3000 + " 100%25 of it")[1] == []
+    assert secrets.as_text(secrets.find("a=1&password%3Dabcdef123456XY&b=2")[1]) == "assign:4:29"
+
+
 def test_base_spans_of_the_corpus_follow_their_patterns(documents):
     assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for row in documents.select("text").collect():
