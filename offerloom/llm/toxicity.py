@@ -1,10 +1,9 @@
-"""Toxicity of documents: character n-grams scaled by naive Bayes log-count ratios, linear classifier.
+"""Toxicity of documents: byte n-grams scaled by naive Bayes log-count ratios, linear classifier.
 
 Features are the presence of byte n-grams of the lower-cased text. From a bounded sample of labelled
 documents (``per_class`` of each class, those with the smallest hash of their id) Spark counts in how
-many documents of each class an n-gram occurs. The ``n_features`` n-grams with the largest
-log-likelihood gain are kept, as far as it is more than chance gives among some 100,000 n-grams
-(``MIN_GAIN``); each is scaled by the log ratio of its smoothed counts, and a logistic
+many documents of each class an n-gram occurs. All n-grams are kept whose log-likelihood gain is more
+than chance gives among some 100,000 n-grams (``MIN_GAIN``); each is scaled by the log ratio of its smoothed counts, and a logistic
 regression over the scaled features is trained by stochastic gradient descent in numpy. The bias is
 moved from the balance of the sample to that of all labels.
 
@@ -29,7 +28,6 @@ from offerloom.llm.texthash import grams, utf8
 
 SIZES = (3, 4, 5)
 PER_CLASS = 1500
-N_FEATURES = 300
 MIN_GAIN = 12.0
 TABLE_BITS = 22
 
@@ -103,7 +101,7 @@ def train(
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_features: int = N_FEATURES, alpha: float = 1.0
+    documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, alpha: float = 1.0
 ) -> ToxicityModel:
     chosen, counts = bounded_labels(labels, "toxic", per_class)
     total = sum(counts.values())
@@ -132,7 +130,7 @@ def fit(
         gain += F.when(F.col(part) > 0, F.col(part) * F.log(F.col(part) / expected)).otherwise(0.0)
         absent, left = size - F.col(part), (good + bad - both) * (size / (good + bad))
         gain += F.when(absent > 0, absent * F.log(absent / left)).otherwise(0.0)
-    best = counted.withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "gram").limit(n_features).collect()
+    best = counted.withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN).collect()
     if not best:
         sample.unpersist()
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(counts[1] / counts[0])))
@@ -154,7 +152,7 @@ def fit(
 
 def score(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """All columns of the rows but the text, with held_out, score and predicted."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # n_features numbers
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # the n-grams of a bounded sample
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_column().alias("text"))
     scored = map_texts(rows, lambda texts: {"score": [shared.value.score(t) for t in texts]}, "score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

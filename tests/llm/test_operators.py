@@ -91,6 +91,15 @@ def test_held_out_accuracy(spark, documents, operator, column):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_keeps_every_telling_n_gram(spark):
+    drawn = random.Random(6)
+    telling = ["".join(drawn.choices("xyzjkvbq", k=12)) for _ in range(40)]
+    rows = [(i, f"{prose(i, 20)} {' '.join(telling) if i < 60 else ''}") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(240)], "doc_id bigint, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert {int(g) for w in telling for g in toxicity.present(w)} <= {int(k) for k in model.keys}
+
+
 def test_secrets_under_layers():
     secret = "password=abcdef123456XY"
     packed = base64.b64encode(gzip.compress(base64.b64encode(secret.encode()))).decode()
