@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, decontaminate, jaccard, passages, quality, secrets, token_counts, topk, toxicity, warc
+from offerloom.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    jaccard,
+    passages,
+    quality,
+    secrets,
+    suffixes,
+    token_counts,
+    topk,
+    toxicity,
+    vector_codes,
+    warc,
+)
 from offerloom.llm.common import table
 from offerloom.session import shared_folder
 
@@ -60,6 +74,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, folder, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeat_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -73,5 +99,8 @@ QUERIES: dict[str, Query] = {
         op8_repeated_passages,
         op9_bpe,
         op10_toxicity,
+        op11_vector_codes,
+        op12_source_divergence,
+        op13_suffix_dedup,
     )
 }
