@@ -183,12 +183,10 @@ def fit_codebooks(rows: DataFrame, first: DataFrame, parts: int, entries: int, r
     made = "part int, entry int, n bigint, total array<decimal(38,0)>"
     for _ in range(rounds if len(begin) else 0):
         sums = rows.select("x").mapInArrow(_sums(books, parts, width), made)
-        place = F.posexplode("total").alias("place", "value")
-        counts = sums.groupBy("part", "entry").agg(F.sum("n").alias("n"))
-        totals = sums.select("part", "entry", place).groupBy("part", "entry", "place").agg(F.sum("value").alias("value"))
+        each = sums.select("part", "entry", "n", F.posexplode("total").alias("place", "value"))
+        means = each.groupBy("part", "entry", "place").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
         books = books.copy()
-        # one row per entry and component
-        for r in totals.join(counts, ["part", "entry"]).collect():
+        for r in means.collect():  # one row per entry and component
             books[r["part"], r["entry"], r["place"]] = int(r["value"]) // r["n"]
     return books
 
