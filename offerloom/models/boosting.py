@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.models import forest
+from offerloom.models.forest import Forest
 from offerloom.operators.combine import TARGET
 from offerloom.session import ensure_checkpoint_folder
 
@@ -28,14 +30,19 @@ class TreeParams:
     min_rows: int = 1
     positive_weight: float = 1.0
     seed: int = 26
+    #: For ``rounds``: most leaves of a tree, grown best-first within ``depth``; and the least loss reduction of a split.
+    leaves: int | None = None
+    gamma: float = 0.0
 
 
 # Deep trees with small steps and weighted positives, and shallower
-# trees with larger steps (2**5 leaves stand for a limit of 31).
+# trees with larger steps (2**5 leaves stand for a limit of 31 in ``fit``).
 PARAMS_A = TreeParams(
-    trees=1000, step=0.01, depth=8, row_share=0.9, feature_share=0.9, min_rows=3, positive_weight=50.0
+    trees=1000, step=0.01, depth=8, row_share=0.9, feature_share=0.9, min_rows=3, positive_weight=50.0, gamma=0.5
 )
 PARAMS_B = TreeParams(trees=1000, step=0.07, depth=5, feature_share=0.9)
+#: The same with 31 leaves grown best-first, for ``rounds``; a path of 12 splits is as deep as it goes.
+PARAMS_B_LEAVES = TreeParams(trees=1000, step=0.07, depth=12, feature_share=0.9, leaves=31)
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -78,18 +85,20 @@ def fit(rows: DataFrame, params: TreeParams, target: str = TARGET) -> GBTClassif
 
 
 def add_score(
-    model: GBTClassificationModel, rows: DataFrame, name: str = "score", n_trees: int | None = None
+    model: GBTClassificationModel | Forest, rows: DataFrame, name: str = "score", n_trees: int | None = None
 ) -> DataFrame:
     """Probability of the positive class as one more column; ``n_trees`` uses the first trees only.
 
     Scoring only maps rows, so any number of models can be applied one after the
     other without a shuffle.
     """
-    if n_trees in (None, model.getNumTrees):
-        scored = model.transform(rows)
-        return scored.select(*rows.columns, vector_to_array("probability")[1].alias(name))
-    margins = _margin_columns(model, rows, [n_trees])
-    return margins.withColumn(name, probability(F.col(f"_m_{n_trees}"))).drop(f"_m_{n_trees}")
+    if isinstance(model, GBTClassificationModel):
+        if n_trees in (None, model.getNumTrees):
+            scored = model.transform(rows)
+            return scored.select(*rows.columns, vector_to_array("probability")[1].alias(name))
+        model = flat(model, rows)
+    trees = model if n_trees is None else model.first(n_trees)
+    return forest.add_margin(trees, rows, "_m").withColumn(name, probability(F.col("_m"))).drop("_m")
 
 
 def probability(margin: Column) -> Column:
@@ -97,32 +106,17 @@ def probability(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
-def _margin_columns(model: GBTClassificationModel, rows: DataFrame, tree_counts: Sequence[int]) -> DataFrame:
-    """Add ``_m_<n>``, the margin after the first n trees, for each n in ascending ``tree_counts``."""
-    trees, weights = model.trees, model.treeWeights
-    out, total, done = rows, F.lit(0.0), 0
-    for n in tree_counts:
-        for i in range(done, n):
-            out = trees[i].setFeaturesCol("features").setPredictionCol(f"_tree_{i}").transform(out)
-            total = total + F.col(f"_tree_{i}") * F.lit(float(weights[i]))
-        # Fold the trees so far into one column, so that the plan stays small.
-        out = out.withColumn(f"_m_{n}", total).drop(*[f"_tree_{i}" for i in range(done, n)])
-        total, done = F.col(f"_m_{n}"), n
-    return out
+def flat(model: GBTClassificationModel | Forest, rows: DataFrame) -> Forest:
+    return model if isinstance(model, Forest) else forest.of_model(rows.sparkSession, model)
 
 
-def staged_margins(model: GBTClassificationModel, rows: DataFrame, tree_counts: Sequence[int]) -> DataFrame:
+def staged_margins(model: GBTClassificationModel | Forest, rows: DataFrame, tree_counts: Sequence[int]) -> DataFrame:
     """The margin after the first n trees, in long form (``n_trees``, ``margin``), for each n asked for.
 
-    Boosting only ever adds trees, so one model of 1000 trees holds every smaller
-    one; asking how many trees are best takes one fit, not one per candidate.
+    Boosting only ever adds trees, so one model of 1000 trees holds every smaller one. All trees are
+    walked in one pass; for the AUC of many numbers of trees, ``forest.auc_bounds`` writes no long form.
     """
-    wanted = sorted(set(tree_counts))
-    kept = [c for c in rows.columns if c != "features"]
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("n_trees"), F.col(f"_m_{n}").alias("margin")) for n in wanted]
-    )
-    return _margin_columns(model, rows, wanted).select(*kept, F.inline(pairs))
+    return forest.long_margins(flat(model, rows), rows, tree_counts)
 
 
 def importances(model: GBTClassificationModel, features: Sequence[str], rows: DataFrame) -> DataFrame:

@@ -65,19 +65,26 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         files = df.inputFiles()
         if files and "/stages/" in files[0]:
-            _remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+            remove_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def discard_all(spark: SparkSession) -> None:
     """Remove everything that this application has staged."""
-    _remove(spark, f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}")
+    remove_folder(spark, f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}")
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, with all that is in it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written there to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
     """Run functions that start Spark jobs, ``parallelism`` at a time; results come in order."""
     in_session = inheritable_thread_target(spark)
