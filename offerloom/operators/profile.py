@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.operators.ordered import quantiles
+from offerloom.operators.ordered import as_doubles, bracketed_quantiles, quantile_brackets
 
 
 def _tagged(tables: Mapping[str, DataFrame], report) -> DataFrame:
@@ -94,18 +94,19 @@ def positive_rate(df: DataFrame, column: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     measures = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wide = numeric.agg(*[f(c).alias(f"{c}|{name}") for c in columns for name, f in measures.items()])
-    cells = [
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}|{name}`").alias(name) for name in measures])
-        for c in columns
-    ]
-    moments = wide.select(F.inline(F.array(*cells)))
-    quartiles = quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return moments.join(quartiles, "column_name", "left").select(
-        "column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+    numeric = as_doubles(df, columns)
+    moments = [f(c).alias(f"{c}|{name}") for c in columns for name, f in measures.items()]
+    first = quantile_brackets(numeric, columns, quartiles, moments)
+    found = {r[0]: r[1:] for r in bracketed_quantiles(numeric, first, columns, quartiles)}
+    rows = []
+    for c in columns:
+        n, mean, std, low, high = (first[f"{c}|{name}"] for name in measures)
+        rows.append((c, n, mean, std, low, *found[c], high))
+    names = ["mean", "std", "min", *quartiles, "max"]
+    # one row per column
+    return df.sparkSession.createDataFrame(rows, "column_name string, n bigint, " + ", ".join(f"{n} double" for n in names))
 
 
 def skewness(value: Column) -> Column:

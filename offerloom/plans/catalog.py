@@ -12,7 +12,7 @@ from offerloom.functions import dates, levels, numeric
 from offerloom.functions.hashing import seeded_uniform
 from offerloom.models import boosting, selection
 from offerloom.models.boosting import PARAMS_A, PARAMS_B
-from offerloom.operators import aggregate, combine, encode, metrics, ordered, profile, sets, splits
+from offerloom.operators import aggregate, combine, encode, frequent, metrics, ordered, profile, sets, splits
 from offerloom.operators.joins import lookup
 from offerloom.plans import modelling, prepare
 from offerloom.plans.modelling import ModelTable
@@ -348,6 +348,17 @@ def q_topk_items(data):
     return combine.top_rows(profile.value_counts(data.transactions, "item_id"), ["n"], 15, ["item_id"])
 
 
+@query
+def q_frequent_items(data):
+    """The rows of q_topk_items without a shuffle of all items."""
+    return frequent.top_values(data.transactions, "item_id", 15)
+
+
+@query
+def q_frequent_categories(data):
+    return frequent.top_values(prepare.coupon_item_table(data), "category", 10)
+
+
 def _key_sets(data: CampaignData, operation) -> DataFrame:
     impressions = stage(data.impressions.select("id", "coupon_id", "customer_id", "source"), "keys", ["source"])
     train, test = (impressions.filter(F.col("source") == tag) for tag in ("train", "test"))

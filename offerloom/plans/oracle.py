@@ -404,6 +404,11 @@ def _statements() -> dict[str, str]:
         "q_sorted_distinct": "select distinct coupon_id from fx_train order by coupon_id",
         "q_topk_items": """
             select item_id, count(*) as n from fx_trans group by item_id order by n desc, item_id limit 15""",
+        "q_frequent_items": """
+            select item_id, count(*) as n from fx_trans group by item_id order by n desc, item_id limit 15""",
+        "q_frequent_categories": """
+            select category, count(*) as n from coupon_items where category is not null
+            group by category order by n desc, category limit 10""",
         "q_ids_only_train": _union(
             [f"select '{k}' as key_name, {k} as key_value from (select {k} from fx_train except select {k} from fx_test)" for k in KEYS]
         ),
