@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import dates, levels, numeric
 from offerloom.functions.hashing import seeded_uniform
-from offerloom.models import boosting, selection
-from offerloom.models.boosting import PARAMS_A, PARAMS_B
+from offerloom.models import boosting, rounds, selection
+from offerloom.models.boosting import PARAMS_A, PARAMS_B, PARAMS_B_LEAVES
 from offerloom.operators import aggregate, combine, encode, frequent, metrics, ordered, profile, sets, splits
 from offerloom.operators.joins import lookup
 from offerloom.plans import modelling, prepare
@@ -614,6 +614,31 @@ def q_oof_scores(table):
     return _held_out(table).select("id", "fold", "score")
 
 
+@model_query
+def q_oof_rows(table):
+    """Every train row is scored once, by a model that has not seen its fold."""
+    inside = F.count_if(F.col("score").between(0.0, 1.0))
+    return _held_out(table).groupBy("fold").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), inside.alias("n_in_range")
+    )
+
+
+@model_query
+def q_early_stop(table):
+    """A fit that may have 1000 trees of 31 leaves and ends when four trees have brought nothing."""
+    fit_on, judge_on = modelling.holdout(table.train)
+    fit = rounds.fit_rounds(fit_on, PARAMS_B_LEAVES, judge_on, patience=4, every=2)
+    return rounds.history_table(table.train.sparkSession, fit)
+
+
+@model_query
+def q_leaf_limit(table):
+    """Trees grown best-first to 31 leaves at most, on paths of up to 12 splits."""
+    fit = rounds.fit_rounds(table.train, replace(PARAMS_B_LEAVES, trees=2), every=2)
+    rows = [(i, n <= PARAMS_B_LEAVES.leaves, n > 1) for i, n in enumerate(fit.forest.leaves())]
+    return table.train.sparkSession.createDataFrame(rows, "tree int, within_limit boolean, grown boolean")
+
+
 @model_query
 def q_fold_auc(table):
     return modelling.fold_auc(_held_out(table))

