@@ -7,8 +7,8 @@ joined; at every place of a matching document that has such a hash, the match is
 to both sides, and counts when it reaches LENGTH words. An item with fewer words counts as a whole: its
 one run of all words is looked up among all runs of that length (at most LENGTH - 1 lengths).
 
-Hashes are taken of lower-cased words. Words are then compared with only A-Z lower-cased, which can
-tell more words apart but never fewer.
+Words have one form throughout, with A-Z lower-cased and nothing else: hashes and comparisons are of the same words.
+Case mappings of whole texts would not do, as some hang on the neighbouring letters (final sigma).
 
 No document moves with its text but those that share a hash with an item. Items are spread like any
 table; Spark broadcasts their hashes when they are small, and splits a hash that very many documents
@@ -41,11 +41,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), GAP), lambda w: w != "")
 
 
-def _loose_words(text: Column) -> Column:
-    """Words for hashing only: equal words stay equal, and there are as many."""
-    return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -87,14 +82,13 @@ def item_places(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"),
         words_of(text_column()).alias("words"),
-        _loose_words(text_column()).alias("loose"),
     ).where(F.size("words") > 0)
-    long = items.where(F.size("words") >= LENGTH).withColumn("run", F.lit(GRAM)).withColumn("hashes", _runs(F.col("loose"), GRAM))
+    long = items.where(F.size("words") >= LENGTH).withColumn("run", F.lit(GRAM)).withColumn("hashes", _runs(F.col("words"), GRAM))
     long = long.withColumn("kept", winnow(F.col("hashes")))
     short = items.where(F.size("words") < LENGTH).withColumn("run", F.size("words"))
     short = short.withColumn(
         "hashes",
-        F.coalesce(*[F.when(F.col("run") == n, _runs(F.col("loose"), n)) for n in range(1, LENGTH)]),
+        F.coalesce(*[F.when(F.col("run") == n, _runs(F.col("words"), n)) for n in range(1, LENGTH)]),
     ).withColumn("kept", F.col("hashes"))
     places = long.unionByName(short).select("item_id", "words", "run", "kept", F.posexplode("hashes").alias("place", "hash"))
     places = places.where(F.array_contains("kept", F.col("hash")))
@@ -141,12 +135,12 @@ def find_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole_gram = GRAM in lengths and not places.where(
         (F.col("run") == GRAM) & (F.size("item_before") + F.size("item_after") == 0)
     ).isEmpty()
-    kept = texts.select(*KEY, F.explode(_let(_loose_words(F.col("text")), all_kept)).alias("hash"))
+    kept = texts.select(*KEY, F.explode(_let(words_of(F.col("text")), all_kept)).alias("hash"))
     found = stage(kept.join(hashes, "hash").groupBy(*KEY).agg(F.collect_set("hash").alias("found")), "matching-documents")
 
     near = keep_buckets(texts, F.col("__k1"), found.select("__k1")).join(found, KEY).dropDuplicates(KEY)
-    near = near.select(*KEY, "found", words_of(F.col("text")).alias("words"), _loose_words(F.col("text")).alias("loose"))
-    spots = [F.filter(_spots(F.col("loose"), n), lambda s: F.array_contains("found", s["hash"])) for n in lengths]
+    near = near.select(*KEY, "found", words_of(F.col("text")).alias("words"))
+    spots = [F.filter(_spots(F.col("words"), n), lambda s: F.array_contains("found", s["hash"])) for n in lengths]
     spots = F.concat(*spots) if spots else F.array().cast("array<struct<place:int,hash:bigint,run:int>>")
     spread = near.select(*KEY, "words", F.explode(spots).alias("spot")).select(
         *KEY,
