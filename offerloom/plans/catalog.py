@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
 
 from offerloom.functions import dates, levels, numeric
 from offerloom.functions.hashing import seeded_uniform
@@ -17,8 +19,10 @@ from offerloom.operators.joins import lookup
 from offerloom.plans import modelling, prepare
 from offerloom.plans.modelling import ModelTable
 from offerloom.plans.prepare import CODES
+from offerloom.session import shared_folder
+from offerloom.sources import ordered_files, rejects
 from offerloom.sources.campaign import CampaignData, from_star_schema
-from offerloom.sources.tables import read_parquet, stage, stage_all
+from offerloom.sources.tables import read_parquet, remove_folder, stage, stage_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,6 +290,8 @@ def q_positive_rate(data):
     return profile.positive_rate(data.train, combine.TARGET)
 
 
+# Place of each key in an impression id: divisor and span.
+ID_PARTS = [("coupon_id", 100, 10**8), ("customer_id", 10**10, 10**9), ("campaign_id", 1, 100)]
 AMOUNTS = ["selling_price", "other_discount", "coupon_discount"]
 
 
@@ -563,6 +569,59 @@ def q_confusion(data):
     return metrics.confusion_matrix(judged, combine.TARGET, "prediction")
 
 
+# Files
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/files/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@table_query
+def q_reject_counts(spark, folder):
+    """Orders written as text with faults by rule, read with the checks: rejected values per column and reason."""
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    faulty_day = F.when(key % 7 == 0, "31/02/1996").when(key % 11 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    price = F.when(key % 13 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    customer = F.when(key % 5 != 0, F.col("o_custkey").cast("string")).otherwise("")
+    line = F.concat_ws(",", key.cast("string"), customer, F.coalesce(faulty_day, day), price)
+    line = F.when(key % 17 == 0, F.concat_ws(",", key.cast("string"), customer)).otherwise(line)
+    path = _own_folder(spark, "orders-text")
+    read_parquet(spark, f"{folder}/orders.parquet").select(line.alias("value")).write.text(path)
+    schema = StructType(
+        [
+            StructField("order_id", LongType(), False),
+            StructField("customer_id", LongType(), False),
+            StructField("day", DateType()),
+            StructField("price", DoubleType()),
+        ]
+    )
+    checked = rejects.read_checked(spark, path, schema, {"day": "dd/MM/yyyy"}, header=False)
+    counts = rejects.reject_counts(checked.rejects).groupBy("column_name", "reason").agg(F.sum("n").alias("n"))
+    good = checked.rows.agg(F.count("*").alias("n")).select(F.lit("(good)").alias("column_name"), F.lit("").alias("reason"), "n")
+    found = stage(counts.unionByName(good), "reject-counts")
+    remove_folder(spark, path)
+    return found
+
+
+@query
+def q_submission_file(data):
+    """A submission in the template's order: written to numbered files, read back, and its order checked."""
+    spark = data.test.sparkSession
+    path = _own_folder(spark, "submission")
+    scores = data.test.select("id").withColumns(hash_scores("score_a"))
+    order = ["coupon_id", "customer_id", "campaign_id"]
+    modelling.write_ordered_submission(data.test, scores, "score_a", path, order)
+    schema = StructType([StructField("id", LongType()), StructField(combine.TARGET, DoubleType())])
+    back = ordered_files.read_ordered(spark, path, schema)
+    place = F.struct(*[(F.floor(F.col("id") / low) % high).alias(c) for c, low, high in ID_PARTS])
+    lines = Window.partitionBy("_file").orderBy("_block", "_line")
+    checked = back.withColumn("in_order", F.coalesce(F.lag(place).over(lines) < place, F.lit(True)))
+    found = stage(checked.select("id", combine.TARGET, "in_order"), "submission-rows")
+    remove_folder(spark, path)
+    return found
+
+
 # Models
 
 

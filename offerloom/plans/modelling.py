@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 from typing import NamedTuple
 
@@ -18,6 +19,7 @@ from offerloom.operators.metrics import confusion_matrix, roc_auc
 from offerloom.operators.profile import correlations
 from offerloom.operators.splits import is_holdout
 from offerloom.plans.prepare import CODE_DUMMIES
+from offerloom.sources.ordered_files import write_ordered
 from offerloom.sources.tables import stage, write_csv
 
 # The predictors apart from the dummy families, in their usual order.
@@ -113,6 +115,14 @@ def write_submission(df: DataFrame, path: str) -> None:
     write_csv(df, path)
 
 
+def write_ordered_submission(template: DataFrame, scores: DataFrame, score: str, path: str, order: Sequence[str]) -> None:
+    """The scores in the order of the template, as numbered CSV files; ``order`` are columns of the template."""
+    own = [F.col(c).alias(f"_order_{c}") for c in order]
+    placed = template.select("id", *own).join(scores.select("id", F.col(score).alias(TARGET)), "id", "left")
+    names = [f"_order_{c}" for c in order]
+    write_ordered(placed, path, names, drop=names)
+
+
 class Blend(NamedTuple):
     scores: DataFrame
     best_trees_a: int

@@ -455,6 +455,18 @@ def _statements() -> dict[str, str]:
         "q_holdout_split": f"""
             select id, case when {_hash('holdout')} < 1073741824 then 'val' else 'train' end as split from fx_train""",
         "q_kfold": f"select id, {_hash('fold')} % 10 as fold from fx_train",
+        "q_reject_counts": """
+            with o as (
+              select o_orderkey % 17 = 0 as short, o_orderkey % 5 = 0 as no_customer,
+                o_orderkey % 7 = 0 or o_orderkey % 11 = 0 as bad_day, o_orderkey % 13 = 0 as bad_price from orders),
+            r as (
+              select '(row)' as column_name, 'number of values' as reason from o where short
+              union all select 'customer_id', 'missing' from o where not short and no_customer
+              union all select 'day', 'not of type date' from o where not short and bad_day
+              union all select 'price', 'not of type double' from o where not short and bad_price
+              union all select '(good)', '' from o where not (short or no_customer or bad_day or bad_price))
+            select column_name, reason, cast(count(*) as bigint) as n from r group by column_name, reason""",
+        "q_submission_file": f"select id, {_uniform('score_a')} as redemption_status, true as in_order from fx_test",
         "q_oof_rows": f"""
             select fold, count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_range
             from (select id, {_hash('fold')} % 3 as fold from fx_train) group by fold""",
