@@ -14,7 +14,7 @@ from offerloom.functions import dates, levels, numeric
 from offerloom.functions.hashing import seeded_uniform
 from offerloom.models import boosting, rounds, selection
 from offerloom.models.boosting import PARAMS_A, PARAMS_B, PARAMS_B_LEAVES
-from offerloom.operators import aggregate, combine, encode, frequent, metrics, ordered, profile, sets, splits
+from offerloom.operators import aggregate, combine, dictionary, encode, frequent, metrics, ordered, profile, sets, splits
 from offerloom.operators.joins import lookup
 from offerloom.plans import modelling, prepare
 from offerloom.plans.modelling import ModelTable
@@ -501,6 +501,29 @@ def q_code_table(data):
     return encode.code_table(data.transactions, "item_id", "item_code")
 
 
+@query
+def q_dictionary_versions(data):
+    """Codes fitted on the demographics, and those that the transactions add behind them."""
+    spark = data.transactions.sparkSession
+    path = _own_folder(spark, "dictionary")
+    dictionary.fit_dictionary(data.demographics, ["customer_id", "age_range"], path)
+    dictionary.append_levels(data.transactions, ["customer_id"], path)
+    return dictionary.read_dictionary(spark, path)
+
+
+@query
+def q_dictionary_unknown(data):
+    """What a dictionary of the demographics does not know of the transactions, and the codes it gives."""
+    path = _own_folder(data.transactions.sparkSession, "dictionary")
+    dictionary.fit_dictionary(data.demographics, ["customer_id"], path)
+    unknown = dictionary.unknown_levels(data.transactions, ["customer_id"], path)
+    coded = dictionary.encode(data.transactions.select("customer_id"), {"customer_id": "code"}, path, "other")
+    sums = coded.agg(
+        F.count_if(F.col("code") == dictionary.OTHER).alias("n_other"), F.sum("code").alias("sum_codes"), F.max("code").alias("max_code")
+    )
+    return stage(unknown, "unknown").join(F.broadcast(sums))  # one row each
+
+
 @query
 def q_feature_table(data):
     features = open_numbers(prepare.feature_table(data), combine.TARGET)

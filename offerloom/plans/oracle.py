@@ -455,6 +455,21 @@ def _statements() -> dict[str, str]:
         "q_holdout_split": f"""
             select id, case when {_hash('holdout')} < 1073741824 then 'val' else 'train' end as split from fx_train""",
         "q_kfold": f"select id, {_hash('fold')} % 10 as fold from fx_train",
+        "q_dictionary_versions": """
+            select 'customer_id' as column_name, cast(customer_id as varchar) as level,
+              row_number() over (order by customer_id) - 1 as code, 1 as version from (select distinct customer_id from fx_demo)
+            union all select 'age_range', age_range, row_number() over (order by age_range) - 1, 1
+            from (select distinct age_range from fx_demo)
+            union all select 'customer_id', cast(customer_id as varchar),
+              row_number() over (order by customer_id) - 1 + (select count(distinct customer_id) from fx_demo), 2
+            from (select customer_id from fx_trans except select customer_id from fx_demo)""",
+        "q_dictionary_unknown": """
+            select 'customer_id' as column_name, count(distinct customer_id) filter (code < 0) as n_levels,
+              count(*) filter (code < 0) as n_rows, count(*) filter (code < 0) as n_other,
+              cast(sum(code) as bigint) as sum_codes, max(code) as max_code
+            from (select customer_id, coalesce(code, -1) as code from fx_trans left join (
+              select customer_id, row_number() over (order by customer_id) - 1 as code
+              from (select distinct customer_id from fx_demo)) c using (customer_id)) t""",
         "q_reject_counts": """
             with o as (
               select o_orderkey % 17 = 0 as short, o_orderkey % 5 = 0 as no_customer,
