@@ -208,6 +208,13 @@ def q_customer_unknown(data):
     return prepare.customer_profile(data, "unknown")
 
 
+@query
+def q_customer_activity(data):
+    """Three tables by customer, joined where they lie."""
+    activity = prepare.customer_activity(prepare.customer_tables(data))
+    return open_numbers(activity, "income_bracket")
+
+
 @table_query
 def q_ffill_scalable(spark, folder):
     """Last known price and priority of finished orders, in order of the order key."""

@@ -455,6 +455,14 @@ def _statements() -> dict[str, str]:
         "q_holdout_split": f"""
             select id, case when {_hash('holdout')} < 1073741824 then 'val' else 'train' end as split from fx_train""",
         "q_kfold": f"select id, {_hash('fold')} % 10 as fold from fx_train",
+        "q_customer_activity": """
+            select customer_id, n_transactions, coalesce(quantity, 0) as quantity, coalesce(n_offers, 0) as n_offers,
+              coalesce(n_test_offers, 0) as n_test_offers, cast(income_bracket as double) as income_bracket
+            from (select customer_id, count(*) as n_transactions, cast(sum(quantity) as bigint) as quantity
+                  from fx_trans group by customer_id) t
+            left join (select customer_id, count(*) as n_offers, count(*) filter (source = 'test') as n_test_offers
+                       from fx_impression group by customer_id) o using (customer_id)
+            left join fx_demo using (customer_id)""",
         "q_dictionary_versions": """
             select 'customer_id' as column_name, cast(customer_id as varchar) as level,
               row_number() over (order by customer_id) - 1 as code, 1 as version from (select distinct customer_id from fx_demo)

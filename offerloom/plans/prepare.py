@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Literal
+from typing import Literal, NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from offerloom.operators.encode import Levels, dummies, fit_levels, label_encode
 from offerloom.operators.joins import lookup
 from offerloom.operators.ordered import forward_fill
 from offerloom.sources.campaign import CampaignData
-from offerloom.sources.tables import stage, stage_all
+from offerloom.sources.tables import stage, stage_all, stage_bucketed
 
 Demographics = Literal["ffill", "nofill", "unknown"]
 DEMOGRAPHIC_COLUMNS = [
@@ -162,3 +162,34 @@ def feature_table(data: CampaignData, demographics: Demographics = "ffill") -> D
     merged = clean_levels(stage(star_join(data, demographics), "merged", ["source"]))
     found = fit_categories(merged)
     return add_code_dummies(add_logs(add_durations(encode_categories(merged, found))), found)
+
+
+class CustomerTables(NamedTuple):
+    """Tables that lie side by side: the same customers in the same buckets."""
+
+    impressions: DataFrame
+    transactions: DataFrame
+    demographics: DataFrame
+
+
+def customer_tables(data: CampaignData, buckets: int | None = None) -> CustomerTables:
+    """Stage what hangs on customers in buckets by customer_id, once for all joins and counts by customer."""
+    return CustomerTables(
+        *(
+            stage_bucketed(df, name, "customer_id", buckets)
+            for name, df in (("impressions", data.impressions), ("transactions", data.transactions), ("demographics", data.demographics))
+        )
+    )
+
+
+def customer_activity(tables: CustomerTables) -> DataFrame:
+    """Purchases, offers and income bracket of every customer that bought something: no shuffle on bucketed tables."""
+    bought = tables.transactions.groupBy("customer_id").agg(
+        F.count("*").alias("n_transactions"), F.sum("quantity").cast("bigint").alias("quantity")
+    )
+    offered = tables.impressions.groupBy("customer_id").agg(
+        F.count("*").alias("n_offers"), F.count_if(F.col("source") == "test").alias("n_test_offers")
+    )
+    people = tables.demographics.select("customer_id", "income_bracket")
+    both = lookup(lookup(bought, offered, "customer_id"), people, "customer_id")
+    return both.fillna(0, ["quantity", "n_offers", "n_test_offers"])

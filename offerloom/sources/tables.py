@@ -97,3 +97,20 @@ def stage_all(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]]
     """Stage tables that do not depend on each other; their jobs run side by side."""
     jobs = [lambda name=name, make=make: stage(make(), name) for name, make in tables.items()]
     return dict(zip(tables, side_by_side(spark, jobs, len(jobs))))
+
+
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Stage ``df`` in files that each hold one hash bucket of ``key``, sorted by it.
+
+    Tables staged with the same key and number of buckets (default: ``spark.sql.shuffle.partitions``) are joined, and
+    counted by the key, where they lie: no shuffle. The rows are dealt out by the key once, so that there is one file per
+    bucket. A key that holds very many rows makes one large bucket; use :func:`stage` for such a table.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    app = spark.sparkContext.applicationId
+    unique = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stages/{app}/{unique}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.option("path", path).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(unique)
+    return spark.table(unique).select(*df.columns)
