@@ -14,7 +14,7 @@ from offerloom.functions import dates, levels, numeric
 from offerloom.functions.hashing import seeded_uniform
 from offerloom.models import boosting, rounds, selection
 from offerloom.models.boosting import PARAMS_A, PARAMS_B, PARAMS_B_LEAVES
-from offerloom.operators import aggregate, combine, dictionary, encode, frequent, metrics, ordered, profile, sets, splits
+from offerloom.operators import aggregate, combine, dictionary, encode, frequent, key_sketches, metrics, ordered, profile, sets, splits
 from offerloom.operators.joins import lookup
 from offerloom.plans import modelling, prepare
 from offerloom.plans.modelling import ModelTable
@@ -391,6 +391,17 @@ def q_ids_common(data):
     return _key_sets(data, sets.keys_in_both)
 
 
+@query
+def q_key_set_sizes(data):
+    """Train keys and test keys, sketched apart: sizes, overlaps and differences."""
+    spark = data.train.sparkSession
+    left, right = _own_folder(spark, "train-keys"), _own_folder(spark, "test-keys")
+    columns = ["campaign_id", "coupon_id", "customer_id"]
+    key_sketches.store_part(data.train, columns, left, "all")
+    key_sketches.store_part(data.test, columns, right, "all")
+    return key_sketches.set_sizes(spark, left, right)
+
+
 @query
 def q_customer_overlap(data):
     return sets.overlap_size(data.transactions, data.demographics, "customer_id")

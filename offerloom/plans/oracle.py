@@ -455,6 +455,18 @@ def _statements() -> dict[str, str]:
         "q_holdout_split": f"""
             select id, case when {_hash('holdout')} < 1073741824 then 'val' else 'train' end as split from fx_train""",
         "q_kfold": f"select id, {_hash('fold')} % 10 as fold from fx_train",
+        "q_key_set_sizes": _union(
+            [
+                f"""select '{k}' as column_name, (select count(distinct {k}) from fx_train) as n_left,
+                  (select count(distinct {k}) from fx_test) as n_right,
+                  (select count(distinct {k}) from fx_impression) as n_union,
+                  (select count(*) from (select {k} from fx_train intersect select {k} from fx_test) i) as n_both,
+                  (select count(*) from (select {k} from fx_train except select {k} from fx_test) l) as n_only_left,
+                  (select count(*) from (select {k} from fx_test except select {k} from fx_train) r) as n_only_right,
+                  cast(0 as double) as error_bound"""
+                for k in ("campaign_id", "coupon_id", "customer_id")
+            ]
+        ),
         "q_customer_activity": """
             select customer_id, n_transactions, coalesce(quantity, 0) as quantity, coalesce(n_offers, 0) as n_offers,
               coalesce(n_test_offers, 0) as n_test_offers, cast(income_bracket as double) as income_bracket
