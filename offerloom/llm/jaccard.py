@@ -4,10 +4,10 @@ A document is the set of its runs of five words (hashed to 64 bits); two documen
 Jaccard similarity of their sets is at least ``PERCENT`` %. Documents with equal sets are one class.
 
 1. Grouping. Classes that share one of ``ROUNDS`` min-hashes are compared with a leader per min-hash
-   (never with each other), if they agree in ``AGREE`` of them; links found so join classes into groups
-   of similar documents. Leaders are the classes whose min-hashes are the most common ones: edited copies
-   of a text are nearer to it than to each other. Those still apart are then compared with ``LEADERS``
-   more per min-hash.
+   (never with each other), if they agree in ``AGREE`` of them. Leaders are the classes whose min-hashes
+   are the most common ones: edited copies of a text are nearer to it than to each other. Those not linked
+   by then are compared with ``LEADERS`` more per min-hash. Links join classes into components; pairs with
+   a similarity of ``KIN`` % or more also join components into groups, in which no link is claimed.
 2. Matrix. Of every set of n, the n - ceil(0.8 n) + k tokens that come first in one fixed order are
    listed; two similar sets have at least k listed tokens in common (k is ``overlap(n)``). A group's row of the matrix is the union of its
    members' listed tokens. The order puts tokens that are frequent in the corpus last. Listed tokens
@@ -15,12 +15,20 @@ Jaccard similarity of their sets is at least ``PERCENT`` %. Documents with equal
 3. Bound. Of two sets, take the one whose list ends first in the order: those of its listed tokens that
    are in the other set are listed there too. So the two share at most the listed tokens that they have
    in common and the unlisted ones of that set, and at most its usable tokens. A document can only link
-   to a member of a group if enough of its listed tokens are in the group's row and one of the two has
-   the usable tokens that their sizes ask for.
-4. Opening. Only documents and groups that pass are compared, member by member, on the whole sets.
-
-Links inside a group need no further comparison, as its members are connected already. So no link
-between different components is lost, and copies are never expanded into pairs.
+   to a member of another group if enough of its listed tokens are in the group's row and one of the two has
+   the usable tokens that their sizes ask for. Of two groups, the documents of the smaller one ask.
+4. Opening. A group that is asked for, or that holds several components, is opened: its members and those
+   who ask are written as their differences from one member, the most central. For sets of n and m tokens
+   with a and b tokens of difference, the distance is a + b less twice the difference tokens they share, and
+   they link when it is (n + m) / 9 at most. If a + b is no more than that already, both are linked to the
+   one whose 9 a - n is the least, and are tied to it. Any other link needs so many shared difference
+   tokens that the rarest of both lists meet: the first n / 8 + 1 of the one with the smaller a, the first
+   m / 4 + 1 of the other. Pairs that meet, and can still share enough behind the place where they do, are
+   compared on the whole sets.
+
+Links inside a component need no further comparison. So no link between different components is lost,
+copies are never expanded into pairs, and edited copies that are not quite similar meet only in what
+is peculiar to them.
 
 Defined results: null or empty texts have the empty set and form a component of their own; rows with
 the same text are one class, whatever their ids; a row without doc_id can link others, and its
@@ -34,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import drop_rows, keep_buckets, map_texts, ship, text_column, with_row_key
@@ -47,6 +55,7 @@ PERCENT = 80
 ROUNDS = 8
 AGREE = 5
 LEADERS = 8
+KIN = 50
 FREQUENT = 1 << 19
 BITMAP_BITS = 24
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) & ((1 << 64) - 1) for i in range(ROUNDS)], np.uint64)
@@ -130,13 +139,9 @@ def _row_id():
     return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text_column()))
 
 
-def _linked(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are similar, decided on the whole sets."""
-    pairs = stage(pairs, "pairs")
-    wanted = stage(
-        pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes.select("sid", "rid"), "sid"),
-        "wanted",
-    )
+def _whole_sets(sids: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The whole sets of the classes in the column sid, staged."""
+    wanted = stage(sids.distinct().join(nodes.select("sid", "rid"), "sid"), "wanted")
     rows = documents.select(_row_id().alias("rid"), text_column().alias("text"))
     rows = keep_buckets(rows, F.col("rid"), wanted.select("rid"))
 
@@ -146,14 +151,31 @@ def _linked(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFra
 
     known = map_texts(rows, sets, "sid bigint, tokens array<bigint>").join(wanted, ["sid", "rid"])
     known = stage(known.dropDuplicates(["sid", "rid"]).select("sid", "tokens"), "sets")
+    discard(wanted)
+    return known
+
+
+def _compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids that are kin and whether they link, decided on the whole sets."""
     left = known.select(F.col("sid").alias("a"), F.col("tokens").alias("left"))
     right = known.select(F.col("sid").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("left", "right")).cast("long")
-    linked = both.where(100 * common >= PERCENT * (F.size("left") + F.size("right") - common)).select("a", "b")
-    linked = stage(linked, "links")
-    discard(pairs, wanted, known)
-    return linked
+    union = F.size("left") + F.size("right") - common
+    kin = both.where(100 * common >= KIN * union)
+    return stage(kin.select("a", "b", (100 * common >= PERCENT * union).alias("linked")), "compared")
+
+
+def _kin(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    pairs = stage(pairs, "pairs")
+    known = _whole_sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), documents, nodes)
+    found = _compared(pairs, known)
+    discard(pairs, known)
+    return found
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("a", "b")
 
 
 def _size_fits(n, low, high):
@@ -206,10 +228,76 @@ def token_bitmap(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def _with_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    found = connected_components(edges)
-    joined = nodes.join(found.withColumnRenamed("node", "sid"), "sid", "left")
-    return joined.withColumn("component", F.coalesce("component", "sid"))
+def _with_components(nodes: DataFrame, edges: DataFrame, name: str = "component") -> DataFrame:
+    found = connected_components(edges).withColumnsRenamed({"node": "sid", "component": name})
+    return nodes.join(found, "sid", "left").withColumn(name, F.coalesce(name, "sid"))
+
+
+def _with_groups(nodes: DataFrame, kin: DataFrame) -> DataFrame:
+    """Add the component, the group, and of the group: its leader, its size, and whether it has several components."""
+    grouped = _with_components(_with_components(nodes, _links(kin)), kin.select("a", "b"), "grp")
+    grouped = stage(grouped.drop("lows", "doc_id"), "grouped")
+    about = grouped.groupBy("grp").agg(
+        F.max_by("sid", F.struct("central", "sid")).alias("leader"),
+        F.count("*").alias("many"),
+        (F.min("component") != F.max("component")).alias("mixed"),
+    )
+    return stage(grouped.drop("central").join(about, "grp"), "groups")
+
+
+def _differences(entered: DataFrame, known: DataFrame) -> DataFrame:
+    """Members and guests of the groups to open, as what distinguishes them from the group's leader.
+
+    Columns: grp, sid, n, component, host (a member), a (tokens of difference), differ (those tokens, where
+    the group has more than one member).
+    """
+    lead = known.select(F.col("sid").alias("leader"), F.col("tokens").alias("lead"))
+    rows = entered.join(known, "sid").join(lead, "leader")
+    both = F.concat(F.array_except("tokens", "lead"), F.array_except("lead", "tokens"))
+    rows = rows.withColumn("differ", both).withColumn("a", F.size("differ").cast("long"))
+    listed_ones = F.when(F.col("many") > 1, F.col("differ")).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return stage(rows.select("grp", "sid", "n", "component", "host", "a", listed_ones.alias("differ")), "differences")
+
+
+def _near_leader(differences: DataFrame) -> DataFrame:
+    """Links (a, b) of those that are as near to the leader as makes them similar, to the one nearest in that sense."""
+    slack = 9 * F.col("a") - F.col("n")
+    nearest = differences.groupBy("grp").agg(F.min(F.struct(slack.alias("slack"), "sid")).alias("m"))
+    tied = differences.join(nearest, "grp").where((slack + F.col("m.slack") <= 0) & (F.col("sid") != F.col("m.sid")))
+    return tied.select(F.col("sid").alias("a"), F.col("m.sid").alias("b"))
+
+
+def _meeting_differences(differences: DataFrame) -> DataFrame:
+    """Pairs (a, b) of an opened group, in different components, whose rarest difference tokens meet."""
+    spread = differences.select("grp", "sid", "n", "component", "host", "a", F.explode("differ").alias("token"))
+    counted = (
+        spread.groupBy("grp", "token")
+        .agg(F.count("*").alias("times"), F.max("host").alias("hosted"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where(F.col("hosted") & (F.col("low") < F.col("high")))
+        .select("grp", "token", "times")
+    )
+    own = Window.partitionBy("grp", "sid")
+    # tokens that no pair can share come first, then the rare ones
+    place = F.col("a") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "token"))
+    ranked = spread.join(counted, ["grp", "token"]).withColumn("place", place).drop("times")
+    ranked = stage(ranked.where(4 * (F.col("place") - 1) <= F.col("n")), "rare-differences")
+    one, two = ranked.where(8 * (F.col("place") - 1) <= F.col("n")).alias("l"), ranked.alias("r")
+    la, ra, ln, rn = map(F.col, ("l.a", "r.a", "l.n", "r.n"))
+    behind = F.least(la - F.col("l.place"), ra - F.col("r.place"))  # tokens that can be shared beside this one
+    pairs = one.join(
+        two,
+        (F.col("l.grp") == F.col("r.grp"))
+        & (F.col("l.token") == F.col("r.token"))
+        & ((la < ra) | ((la == ra) & (F.col("l.sid") < F.col("r.sid"))))
+        & (F.col("l.component") != F.col("r.component"))
+        & (F.col("l.host") | F.col("r.host"))
+        & (100 * ln >= PERCENT * rn)
+        & (100 * rn >= PERCENT * ln)
+        & (18 * (behind + 1) >= 9 * (la + ra) - ln - rn),
+    )
+    pairs = stage(pairs.select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).distinct(), "pairs")
+    discard(ranked)
+    return pairs
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -226,11 +314,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     discard(classes)
 
     # 1. groups of similar documents around leaders
-    links = _linked(_stars(nodes.withColumn("component", F.col("sid")), 1), documents, nodes)
-    first = stage(_with_components(nodes, links), "first-groups")
-    links = links.unionByName(_linked(_stars(first, LEADERS), documents, nodes))
-    grouped = stage(_with_components(nodes, links).drop("lows", "central"), "groups")
+    kin = _kin(_stars(nodes.withColumn("component", F.col("sid")), 1), documents, nodes)
+    first = stage(_with_components(nodes, _links(kin)), "first-groups")
+    kin = kin.unionByName(_kin(_stars(first, LEADERS), documents, nodes))
     discard(first)
+    grouped = _with_groups(nodes, kin)
 
     # 2. listed tokens of every class, with its group
     shared = spark.sparkContext.broadcast(_frequent(described))
@@ -244,9 +332,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     rows = documents.select(_row_id().alias("rid"), text_column().alias("text"))
     prefix = map_texts(rows, prefixes, "sid bigint, tokens array<bigint>").join(
-        grouped.select("sid", "rid", "n", F.col("component").alias("grp")), ["sid", "rid"]
+        grouped.select("sid", "rid", "n", "grp", "many"), ["sid", "rid"]
     )
-    prefix = stage(prefix.select("sid", "n", "grp", "tokens"), "listed-tokens")
+    prefix = stage(prefix.select("sid", "n", "grp", "many", "tokens"), "listed-tokens")
+    shared.destroy()
 
     # 3. tokens of more than one group, and the documents and groups that meet there
     contested = (
@@ -268,33 +357,43 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             n = part.column("n").to_numpy()
             usable = n - np.bincount(owner[~on], minlength=part.num_rows)
             at = owner[on]
-            kept = {c: part.column(c).take(pa.array(at)) for c in ("sid", "n", "grp")}
+            kept = {c: part.column(c).take(pa.array(at)) for c in ("sid", "n", "grp", "many")}
             yield pa.RecordBatch.from_pydict({**kept, "usable": pa.array(usable[at]), "token": pa.array(tokens[on])})
 
     ship(spark)
-    meeting = prefix.mapInArrow(only_contested, "sid bigint, n bigint, grp bigint, usable bigint, token bigint")
+    meeting = prefix.mapInArrow(only_contested, "sid bigint, n bigint, grp bigint, many bigint, usable bigint, token bigint")
     meeting = stage(meeting.distinct(), "contested-tokens")
     discard(prefix)
-    members = stage(
-        meeting.select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("usable").alias("ub")).distinct(),
-        "members",
+    marks.destroy()
+    sizes = (
+        meeting.select(F.col("grp").alias("other"), "sid", "n", "usable")
+        .distinct()
+        .groupBy("other")
+        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("usable").alias("best"))
     )
-    sizes = members.groupBy("other").agg(F.min("nb").alias("least"), F.max("nb").alias("most"), F.max("ub").alias("best"))
-    matrix = meeting.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other")
+    matrix = meeting.select("token", F.col("grp").alias("other"), F.col("many").alias("others")).distinct().join(sizes, "other")
+    smaller = (F.col("many") < F.col("others")) | ((F.col("many") == F.col("others")) & (F.col("grp") < F.col("other")))
     bounded = (
         meeting.join(matrix, "token")
-        .where((F.col("grp") < F.col("other")) & _size_fits("n", "least", "most") & _enough_usable("n", "usable", "least", "best"))
-        .groupBy("sid", "n", "usable", "other", "least", "most")
+        .where(smaller & _size_fits("n", "least", "most") & _enough_usable("n", "usable", "least", "best"))
+        .groupBy("sid", "n", "other", "least", "most")
         .agg(F.count("*").alias("met"))  # rows of both sides are distinct, so these are distinct tokens
         .where(_met_enough("n", "least", "most"))
     )
+    asked = stage(bounded.select("sid", F.col("other").alias("grp")), "asked-groups")
 
     # 4. open the groups that are left
-    fits = _size_fits("n", "nb", "nb") & _enough_usable("n", "usable", "nb", "ub") & _met_enough("n", "nb", "nb")
-    opened = bounded.join(members, "other").where(fits).select(F.col("sid").alias("a"), "b")
-    more = _linked(opened, documents, nodes)
-    discard(meeting, members)
-    final = _with_components(nodes, links.unionByName(more))
+    about = asked.select("grp").distinct().withColumn("asked", F.lit(True))
+    hosts = grouped.join(about, "grp", "left").where(F.col("mixed") | F.col("asked")).withColumn("host", F.lit(True))
+    groups = grouped.where(F.col("sid") == F.col("leader")).select("grp", "leader", "many")
+    guests = asked.join(grouped.select("sid", "n", "component"), "sid").join(groups, "grp").withColumn("host", F.lit(False))
+    entries = ["grp", "sid", "n", "component", "leader", "many", "host"]
+    entered = stage(hosts.select(*entries).unionByName(guests.select(*entries)), "entries")
+    known = _whole_sets(entered.select("sid"), documents, nodes)
+    differences = _differences(entered, known)
+    more = stage(_near_leader(differences), "links").unionByName(_links(_compared(_meeting_differences(differences), known)))
+    discard(meeting, asked, entered, known, differences)
+    final = _with_components(nodes, _links(kin).unionByName(more))
     smallest = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage(final.join(smallest, "component").select("sid", "component_id"), "components")
 
