@@ -1,14 +1,19 @@
 """Secrets in texts, also under layers of encoding.
 
 A worklist starts with the text itself. Each layer is scanned, and every way to unwrap it gives new
-layers: percent escapes and Unicode escapes are replaced in place, base64 runs become layers of their
+layers: percent escapes (%NN, %uNNNN), Unicode escapes (\\uNNNN, \\u{N}, \\UNNNNNNNN, \\xNN) and numeric
+entities (&#NN;, &#xNN;) are replaced in place, base64 runs become layers of their
 own, and bytes in base64 or percent escapes that are compressed (gzip, zlib, bz2, xz, also several times
-over or one after the other) are inflated, wherever in the bytes they start. Base64 is decoded from each
+over or one after the other, cut off, or raw deflate from the first byte of a run) are inflated, wherever in the bytes
+they start. Bytes are read as UTF-8, and their ASCII stretches as UTF-16 too. Base64 is decoded from each
 of the first four characters of its run, so that it need not start the run, and also across single line
 breaks; what is found is reported as the range from there to the end of the run.
 Unwrapping goes on until no new layer appears; a layer that has been seen at the same place of the
-text is not taken again, so cycles end. Every character of a layer knows the code points of the
-original text that it came from, and a hit is reported as that range.
+text is not taken again, so cycles end. Each stretch of a layer knows the range of the layer below
+that it came from, and a hit is reported as the range of the original text, in code points.
+Escapes nested more than ``ROUNDS`` times are unwrapped to their end in one pass, which takes time in proportion
+to the text. No layer in between is needed: a secret holds no character that an escape is made of at its
+start, so it stays, or becomes longer, when what is around it is unwrapped.
 
 Kinds, in order: ``assign`` (a name such as password or api_key, a colon or equals sign, 12 or more
 characters), ``access`` (AKIA and 14 or more capitals or digits), ``hex`` (16 or more digits a-f, 0-9).
@@ -16,8 +21,9 @@ characters), ``access`` (AKIA and 14 or more capitals or digits), ``hex`` (16 or
 Defined results: null is the empty text without spans; a range found in several layers is listed once;
 single escapes that are no UTF-8 or half a pair stay as they are, those around them are decoded; bytes are
 decoded with replacement and scanned if they hold ``LEAST_ASCII`` ASCII characters in a row.
-Compressed data that inflate to more than ``MOST_INFLATED`` bytes are not opened, and the row counts
-them in ``n_unopened``. Rows are independent of each other; columns beside doc_id and text are ignored.
+Compressed data that inflate to more than ``MOST_INFLATED`` bytes are searched in windows of that size, which share
+``SHARED`` bytes; compressed data inside of those that go on beyond a window are searched up to its end, and the row
+counts them in ``n_unopened``; ``redact`` replaces their range. Rows are independent of each other; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame
@@ -39,19 +47,28 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import map_texts, text_column
 
 MOST_INFLATED = 1 << 26
+SHARED = 1 << 16
+ROUNDS = 4
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(
     r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_UNITS = r"(?:[%\\]u[0-9A-Fa-f]{4})+"
+_POINT = r"\\u\{[0-9A-Fa-f]{1,8}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,8};|&#[xX][0-9A-Fa-f]{1,8};"
+_ESCAPES = re.compile(rf"(?:%[0-9A-Fa-f]{{2}})+|(?:\\x[0-9A-Fa-f]{{2}})+|{_UNITS}|{_POINT}")
+# one escape at the end of a text that ends in one of _ENDS
+_LAST = re.compile(rf"(?:%[0-9A-Fa-f]{{2}}|\\x[0-9A-Fa-f]{{2}}|[%\\]u[0-9A-Fa-f]{{4}}|{_POINT})\Z")
+_ENDS = frozenset("0123456789abcdefABCDEF};")
+_LONGEST = 12
 # 16 bytes are the least that can hold a secret
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 # the shortest secret has 16 characters
 LEAST_ASCII = 16
 _ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % LEAST_ASCII)
+_UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){%d,}|(?:\0[\t\n\r\x20-\x7e]){%d,}" % (LEAST_ASCII, LEAST_ASCII))
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAKS = re.compile(r"\s+")
 # bytes in percent escapes, with the characters that need none between them
@@ -75,42 +92,54 @@ def scan(text: str) -> list[Span]:
 
 @dataclass
 class Layer:
-    """A text and, per character, where it comes from; ``starts`` None means from itself."""
+    """A text and where it comes from: itself, one range of the original text, or stretches of the layer below.
+
+    A stretch begins at ``begins[i]`` here and at ``froms[i]`` below; it is a copy, or one character decoded
+    from what ends at ``ends[i]`` (None for a copy).
+    """
 
     text: str
-    starts: list[int] | None = None
-    ends: list[int] | None = None
     whole: tuple[int, int] | None = None
+    below: Layer | None = None
+    begins: list[int] | None = None
+    froms: list[int] | None = None
+    ends: list[int | None] | None = None
+    depth: int = 0
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.whole is not None:
             return self.whole
-        if self.starts is None:
+        if self.below is None:
             return start, end
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        i, j = bisect_right(self.begins, start) - 1, bisect_right(self.begins, end - 1) - 1
+        first = self.froms[i] + (start - self.begins[i] if self.ends[i] is None else 0)
+        last = self.froms[j] + end - self.begins[j] if self.ends[j] is None else self.ends[j]
+        return self.below.origin(first, last)
 
     def key(self) -> tuple:
         place = self.origin(0, len(self.text)) if self.text else (0, 0)
         return place, hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
 
 
-def _percent_piece(escaped: str) -> list[tuple[str, int, int]] | None:
-    """Characters of a run of percent escapes with their ranges in the run."""
-    decoded = bytes.fromhex(escaped.replace("%", "")).decode("utf-8", "surrogateescape")
+Piece = list[tuple[str, int, int]]  # characters with their ranges in what was decoded
+
+
+def _bytes_piece(escaped: str, width: int) -> Piece | None:
+    """A run of escapes of one byte each, as UTF-8; bytes that are none stay."""
+    data = bytes(int(escaped[i + width - 2 : i + width], 16) for i in range(0, len(escaped), width))
     out, at, changed = [], 0, False
-    for c in decoded:
-        if 0xDC80 <= ord(c) <= 0xDCFF:  # a byte that is no UTF-8
-            out += [(escaped[i], i, i + 1) for i in range(at, at + 3)]
-            at += 3
+    for c in data.decode("utf-8", "surrogateescape"):
+        if 0xDC80 <= ord(c) <= 0xDCFF:
+            out += [(escaped[i], i, i + 1) for i in range(at, at + width)]
+            at += width
             continue
-        width = 3 * len(c.encode())
-        out.append((c, at, at + width))
-        at += width
-        changed = True
+        end = at + width * len(c.encode())
+        out.append((c, at, end))
+        at, changed = end, True
     return out if changed else None
 
 
-def _unicode_piece(escaped: str) -> list[tuple[str, int, int]] | None:
+def _unicode_piece(escaped: str) -> Piece | None:
     """Characters of a run of 16-bit escapes; surrogates that pair up are one character."""
     units = [int(escaped[i + 2 : i + 6], 16) for i in range(0, len(escaped), 6)]
     out, i, changed = [], 0, False
@@ -130,113 +159,201 @@ def _unicode_piece(escaped: str) -> list[tuple[str, int, int]] | None:
     return out if changed else None
 
 
+def _code_point(escaped: str) -> int:
+    """The number of one escape."""
+    if escaped[0] == "&":
+        return int(escaped[3:-1], 16) if escaped[2] in "xX" else int(escaped[2:-1])
+    if escaped[1] in "xuU":
+        return int(escaped[2:].strip("{}"), 16)
+    return int(escaped[1:], 16)
+
+
+def _escape_piece(escaped: str) -> Piece | None:
+    if escaped[0] == "%" and escaped[1] != "u":
+        return _bytes_piece(escaped, 3)
+    if escaped[:2] == "\\x":
+        return _bytes_piece(escaped, 4)
+    if escaped[1] == "u" and escaped[2] != "{":
+        return _unicode_piece(escaped)
+    code = _code_point(escaped)
+    if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+        return None
+    return [(chr(code), 0, len(escaped))]
+
+
+def _unnested_piece(run: str) -> Piece | None:
+    """A run with all escapes of ASCII characters decoded, however deeply nested, from left to right.
+
+    A character that ends an escape is put in its place at once, so that it can end another.
+    """
+    out: Piece = []
+    for i, c in enumerate(run):
+        out.append((c, i, i + 1))
+        while out[-1][0] in _ENDS:
+            tail = "".join(x for x, _, _ in out[-_LONGEST:])
+            found = _LAST.search(tail)
+            if found is None or (code := _code_point(found.group())) >= 128:
+                break
+            begin = len(out) - len(found.group())
+            out[begin:] = [(chr(code), out[begin][1], out[-1][2])]
+    return out if len(out) < len(run) else None
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, piece) -> Layer | None:
     """The layer with every match of ``pattern`` decoded in place, or None if nothing was decoded."""
     parts: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-
-    def keep(begin: int, end: int) -> None:
-        parts.append(layer.text[begin:end])
-        if layer.starts is None:
-            starts.extend(range(begin, end))
-            ends.extend(range(begin + 1, end + 1))
-        else:
-            starts.extend(layer.starts[begin:end])
-            ends.extend(layer.ends[begin:end])
-
-    done, changed = 0, False
+    begins: list[int] = []
+    froms: list[int] = []
+    ends: list[int | None] = []
+    at = done = 0
     for match in pattern.finditer(layer.text):
         decoded = piece(match.group())
         if decoded is None:
             continue
-        changed = True
-        if layer.whole is None:
-            keep(done, match.start())
-        else:
-            parts.append(layer.text[done : match.start()])
+        copied = layer.text[done : match.start()]
+        if copied:
+            parts.append(copied)
+            begins.append(at)
+            froms.append(done)
+            ends.append(None)
+            at += len(copied)
         for c, begin, end in decoded:
             parts.append(c)
-            if layer.whole is None:
-                first, last = layer.origin(match.start() + begin, match.start() + end)
-                starts.append(first)
-                ends.append(last)
+            begins.append(at)
+            froms.append(match.start() + begin)
+            ends.append(match.start() + end)
+            at += 1
         done = match.end()
-    if not changed:
+    if not done:
         return None
-    if layer.whole is not None:
+    if done < len(layer.text):
         parts.append(layer.text[done:])
-        return Layer("".join(parts), whole=layer.whole)
-    keep(done, len(layer.text))
-    return Layer("".join(parts), starts, ends)
+        begins.append(at)
+        froms.append(done)
+        ends.append(None)
+    text = "".join(parts)
+    if layer.whole is not None:
+        return Layer(text, whole=layer.whole, depth=layer.depth + 1)
+    return Layer(text, below=layer, begins=begins, froms=froms, ends=ends, depth=layer.depth + 1)
 
 
-class TooLarge(Exception):
-    pass
+def _unescaped(layer: Layer) -> Layer | None:
+    if "%" not in layer.text and "\\" not in layer.text and "&#" not in layer.text:
+        return None
+    if layer.depth == ROUNDS and (found := _replaced(layer, _ESCAPED, _unnested_piece)):
+        return found
+    return _replaced(layer, _ESCAPES, _escape_piece)
 
 
-def _inflate(data: memoryview, room: int) -> tuple[bytes, int] | None:
-    """A compressed stream that starts the data, inflated, and its length; None for anything else."""
+def _tool(data: memoryview):
+    """What inflates the compressed stream that starts the data; None for anything else."""
     if data[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\0":
-        tool = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = tool.decompress(data, room + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > room:
-        raise TooLarge
-    return (out, len(data) - len(tool.unused_data)) if tool.eof else None
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\0" else None
+
 
+_FAULTS = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 
-def _inflated(data: bytes) -> tuple[list[bytes], bool]:
-    """What is compressed in the data, streams that follow each other as one, and whether some is too large."""
+
+def _stream(tool, data: memoryview, size: int) -> Iterator[bytes]:
+    """What the tool makes of the data, up to ``size`` bytes at a time, as far as it is without fault."""
+    while not tool.eof:
+        try:
+            out = tool.decompress(data, size)
+        except _FAULTS:
+            return
+        if not out:
+            return
+        yield out
+        data = getattr(tool, "unconsumed_tail", b"")
+
+
+@dataclass
+class Opened:
+    """What was under compressed layers: texts to unwrap further, kinds found in windows, streams cut by a window."""
+
+    texts: list[str]
+    kinds: set[int]
+    n_cut: int = 0
+
+
+def _search_windows(parts: Iterator[bytes], opened: Opened) -> None:
+    """Search a long stream window by window; only one of them is held at a time."""
+    tail = b""
+    for part in parts:
+        window = tail + part
+        inner = _opened(window, True, True)
+        opened.kinds |= inner.kinds
+        opened.n_cut += inner.n_cut
+        for text in inner.texts:
+            _, spans, places = _search(text)
+            opened.kinds |= {kind for _, _, kind in spans}
+            opened.n_cut += len(places)
+        tail = window[-SHARED:]
+
+
+def _inflated(data: bytes, opened: Opened, windowed: bool) -> list[bytes]:
+    """What is compressed in the data, streams that follow each other as one; long ones are searched at once."""
     found: list[bytes] = []
-    view, at, too_large = memoryview(data), 0, False
+    view, at = memoryview(data), 0
     while match := _MAGIC.search(data, at):
         at, parts, room = match.start(), [], MOST_INFLATED
-        try:
-            while (stream := _inflate(view[at:], room)) is not None:
-                parts.append(stream[0])
-                at, room = at + stream[1], room - len(stream[0])
-                while at < len(data) and not data[at]:  # padding between members
-                    at += 1
-        except TooLarge:
-            too_large = True
-            at += 1
+        while (tool := _tool(view[at:])) is not None:
+            stream = _stream(tool, view[at:], MOST_INFLATED)
+            part = next(stream, b"")
+            after = next(stream, None) if part and not tool.eof else None
+            if after is not None or len(part) > room:
+                _search_windows(chain([*parts, part], [] if after is None else [after], stream), opened)
+                parts, room = [], MOST_INFLATED
+            elif tool.eof or len(part) >= LEAST_ASCII:
+                parts.append(part)
+                room -= len(part)
+            if not tool.eof:
+                # the rest of a window's last stream is beyond it
+                opened.n_cut += windowed and len(part) >= SHARED
+                break
+            at = len(data) - len(tool.unused_data)
+            while at < len(data) and not data[at]:  # padding between members
+                at += 1
         if parts:
             found.append(b"".join(parts))
-        else:
-            at = max(at, match.start() + 1)
-    return found, too_large
+        at = max(at, match.start() + 1)
+    return found
+
+
+def _raw_deflate(data: bytes) -> list[bytes]:
+    """The data inflated as deflate without a header, if that is readable to its end."""
+    tool = zlib.decompressobj(-15)
+    parts = list(islice(_stream(tool, memoryview(data), MOST_INFLATED), 1))
+    return parts if tool.eof and parts and _readable(parts[0]) else []
 
 
-def _readable(data: bytes) -> str | None:
-    return data.decode("utf-8", "replace") if _ASCII.search(data) else None
+def _readable(data: bytes) -> list[str]:
+    texts = [data.decode("utf-8", "replace")] if _ASCII.search(data) else []
+    if b"\0" in data:
+        texts += [m.group().replace(b"\0", b"").decode() for m in _UTF16.finditer(data)]
+    return texts
 
 
-def _opened(data: bytes, itself: bool) -> tuple[list[str], bool]:
-    """Readable texts under any number of compressed layers, of the bytes ``itself`` too, and whether some is too large."""
-    texts, too_large, waiting, seen = [], False, [data], set()
+def _opened(data: bytes, itself: bool, windowed: bool = False) -> Opened:
+    """Readable texts under any number of compressed layers, of the bytes ``itself`` too."""
+    opened, waiting, seen = Opened([], set()), [data], set()
     while waiting:
         data = waiting.pop()
         mark = hashlib.sha256(data).digest()
         if mark in seen:  # data that inflate to themselves
             continue
         seen.add(mark)
-        if (itself or len(seen) > 1) and (text := _readable(data)) is not None:
-            texts.append(text)
-        inner, more = _inflated(data)
-        waiting += inner
-        too_large |= more
-    return texts, too_large
+        if itself or len(seen) > 1:
+            opened.texts += _readable(data)
+        waiting += _inflated(data, opened, windowed)
+        if not windowed:
+            waiting += _raw_deflate(data)
+    return opened
 
 
 def _from_base64(run: str) -> Iterator[tuple[int, bytes]]:
@@ -267,44 +384,48 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes, bool]]:
                     yield match.start(), match.end(), unquote_to_bytes(match.group().replace("+", " ")), False
 
 
-def layers(text: str) -> Iterator[Layer | None]:
-    """The text and everything that can be unwrapped from it; None stands for data that is too large."""
+def layers(text: str) -> Iterator[Layer | tuple[tuple[int, int], Opened]]:
+    """The text and everything that can be unwrapped from it; also ranges that hold long compressed data, already searched."""
     queue, seen = deque([Layer(text)]), set()
     while queue:
         layer = queue.popleft()
         yield layer
-        fresh: list[Layer | None] = []
-        if "%" in layer.text:
-            fresh.append(_replaced(layer, _PERCENT, _percent_piece))
-        if "\\u" in layer.text:
-            fresh.append(_replaced(layer, _UNICODE, _unicode_piece))
-        closed = set()
+        fresh = [_unescaped(layer)]
         for start, end, data, itself in _encoded(layer.text):
-            texts, too_large = _opened(data, itself)
-            if too_large:
-                closed.add(end)
-            fresh += [Layer(inner, whole=layer.origin(start, end)) for inner in texts]
-        yield from [None] * len(closed)
+            opened = _opened(data, itself)
+            place = layer.origin(start, end)
+            if opened.kinds or opened.n_cut:
+                yield place, opened
+            fresh += [Layer(inner, whole=place) for inner in opened.texts]
         for new in fresh:
             if new is not None and new.text and (key := new.key()) not in seen:
                 seen.add(key)
                 queue.append(new)
 
 
-def find(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans (both by start, then kind), and how many data were too large to open."""
+def _search(text: str) -> tuple[list[Span], set[Span], set[tuple[int, int]]]:
+    """Base spans, all spans, and ranges with data that could not be opened to their end."""
     base: list[Span] = []
     spans: set[Span] = set()
-    unopened = 0
+    unopened: set[tuple[int, int]] = set()
     for number, layer in enumerate(layers(text)):
-        if layer is None:
-            unopened += 1
+        if not isinstance(layer, Layer):
+            place, opened = layer
+            spans.update((*place, kind) for kind in opened.kinds)
+            if opened.n_cut:
+                unopened.add(place)
             continue
         found = scan(layer.text)
         if number == 0:
             base = found
         spans.update((*layer.origin(start, end), kind) for start, end, kind in found)
-    return base, sorted(spans, key=lambda s: (s[0], s[2], s[1])), unopened
+    return base, spans, unopened
+
+
+def find(text: str) -> tuple[list[Span], list[Span], int]:
+    """Base spans, all spans (both by start, then kind), and how many ranges could not be opened to their end."""
+    base, spans, unopened = _search(text)
+    return base, sorted(spans, key=lambda s: (s[0], s[2], s[1])), len(unopened)
 
 
 def as_text(spans: list[Span]) -> str:
@@ -312,15 +433,16 @@ def as_text(spans: list[Span]) -> str:
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
-    """The text with every range that holds a secret replaced."""
-    _, spans, _ = find(text)
+    """The text with every range replaced that holds a secret or could not be opened."""
+    _, spans, unopened = _search(text)
+    hidden = {(start, end) for start, end, _ in spans} | unopened
     parts, done = [], 0
-    for start, end, _ in sorted(spans):
+    for start, end in sorted(hidden):
         if end <= done:
             continue
         parts += [text[done:start], mark] if start >= done else []
         done = end
-    return "".join(parts) + text[done:] if spans else text
+    return "".join(parts) + text[done:] if hidden else text
 
 
 def _columns(texts: list[str]) -> dict:
