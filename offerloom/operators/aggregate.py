@@ -46,28 +46,33 @@ def modes_by_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     before each of the two shuffles. Every column is profiled on its own, so a
     result row need not match any input row.
     """
-    flags = {c: f"_is_{c}" for c in columns}
-    counts = (
-        df.filter(F.col(key).isNotNull())
-        .groupingSets([[key, c] for c in columns], key, *columns)
-        .agg(F.count("*").alias("_n"), *[(F.grouping(c) == 0).alias(flag) for c, flag in flags.items()])
+    return profile_by_key(df, key, columns, [])
+
+
+def profile_by_key(df: DataFrame, key: str, modes: Sequence[str], means: Sequence[str]) -> DataFrame:
+    """One row per key with the mode of some columns and the mean of others, in one pass over the rows.
+
+    The rows of the first grouping set carry the sums of the amounts, which are added up
+    per key in the second step; nothing is read twice and nothing is joined.
+    """
+    rows = df.filter(F.col(key).isNotNull())
+    if not modes:
+        return mean_money_by_key(rows, key, means)
+    flags = {c: f"_is_{c}" for c in modes}
+    sums = {name: part for c in means for name, part in money_sums(c).items()}
+    counts = rows.groupingSets([[key, c] for c in modes], key, *modes).agg(
+        F.count("*").alias("_n"),
+        *[(F.grouping(c) == 0).alias(flag) for c, flag in flags.items()],
+        *[part.alias(name) for name, part in sums.items()],
     )
 
     def best(c: str) -> Column:
         present = F.col(flags[c]) & F.col(c).isNotNull()
         return F.min(F.when(present, F.struct(-F.col("_n"), F.col(c)))).getField(c).alias(c)
 
-    return counts.groupBy(key).agg(*map(best, columns))
-
-
-def profile_by_key(df: DataFrame, key: str, modes: Sequence[str], means: Sequence[str]) -> DataFrame:
-    """One row per key with the mode of some columns and the mean of others.
-
-    The two parts read different columns, so a columnar file is not read twice, and
-    both end up partitioned by key, so that joining them needs no further shuffle.
-    """
-    amounts = mean_money_by_key(df.filter(F.col(key).isNotNull()), key, means)
-    return modes_by_key(df, key, modes).join(amounts, key)
+    totals = [F.sum(F.when(F.col(flags[modes[0]]), F.col(name))).alias(name) for name in sums]
+    found = counts.groupBy(key).agg(*map(best, modes), *totals)
+    return found.select(key, *modes, *[money_mean(c).alias(c) for c in means])
 
 
 def mean_by_key(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -137,29 +137,35 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(cells))
 
 
+def histograms(df: DataFrame, values: Mapping[str, tuple[Column, int]]) -> DataFrame:
+    """Rows per equal-width bin of several values, each with its number of bins: column_name, bin, bin_from, n.
+
+    One pass finds the spans of all values, one counts all bins. The last bin takes in its upper bound,
+    empty bins show 0, and a value without any row has no bins.
+    """
+    numbers = df.select(*[value.cast("double").alias(name) for name, (value, _) in values.items()])
+    ends = numbers.agg(*[f(name).alias(f"{name}|{end}") for name in values for end, f in (("lo", F.min), ("hi", F.max))]).first()
+    spans = {}
+    for name, (_, bins) in values.items():
+        lo, hi = ends[f"{name}|lo"], ends[f"{name}|hi"]
+        if lo is not None:
+            lo, hi = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)  # a single value gets a span of one around it
+            spans[name] = (lo, (hi - lo) / bins, bins)
+    schema = "column_name string, bin int, bin_from double"
+    # one row per bin
+    edges = df.sparkSession.createDataFrame([(name, i, lo + step * i) for name, (lo, step, n) in spans.items() for i in range(n)], schema)
+    if not spans:
+        return edges.withColumn("n", F.lit(0).cast("bigint"))
+
+    def place(name: str, lo: float, step: float, bins: int) -> Column:
+        inside = F.least(F.floor((F.col(name) - lo) / step).cast("int"), F.lit(bins - 1))
+        return F.struct(F.lit(name).alias("column_name"), F.when(F.col(name).isNotNull(), inside).alias("bin"))
+
+    places = [place(name, *span) for name, span in spans.items()]
+    counts = numbers.select(F.inline(F.array(*places))).where(F.col("bin").isNotNull()).groupBy("column_name", "bin").agg(F.count("*").alias("n"))
+    return edges.join(counts, ["column_name", "bin"], "left").select("column_name", "bin", "bin_from", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
-    """Rows per equal-width bin; the last bin takes in its upper bound, empty bins show 0."""
-    values = df.select(value.cast("double").alias("value")).filter(F.col("value").isNotNull())
-    single = F.min("value") == F.max("value")
-    # One row: the span of the values, in one pass. A single value gets a span of one around it.
-    span = values.agg(
-        F.struct(
-            F.when(single, F.min("value") - 0.5).otherwise(F.min("value")).alias("lo"),
-            F.when(single, F.max("value") + 0.5).otherwise(F.max("value")).alias("hi"),
-        ).alias("span")
-    ).scalar()
-    lo, hi = F.col("span.lo"), F.col("span.hi")
-    step = (hi - lo) / bins
-    place = F.floor((F.col("value") - lo) / step).cast("int")
-    counts = (
-        values.select("value", span.alias("span"))
-        .select(F.least(place, F.lit(bins - 1)).alias("bin"))
-        .groupBy("bin")
-        .agg(F.count("*").alias("n"))
-    )
-    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), span.alias("span"))
-    return (
-        edges.filter(lo.isNotNull())
-        .join(counts, "bin", "left")
-        .select("bin", (lo + step * F.col("bin")).alias("bin_from"), F.coalesce("n", F.lit(0)).alias("n"))
-    )
+    """:func:`histograms` of one value."""
+    return histograms(df, {"value": (value, bins)}).drop("column_name")

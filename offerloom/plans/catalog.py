@@ -335,12 +335,12 @@ def q_corr(data):
 
 @query
 def q_histogram(data):
-    price = profile.histogram(data.transactions, F.col("selling_price"), 50)
-    discount = profile.histogram(data.transactions, numeric.log_discount(F.col("other_discount")), 50)
-    quantity = profile.histogram(data.transactions, F.col("quantity"))
-    named = {"selling_price": price, "other_discount_log": discount, "quantity": quantity}
-    parts = [df.select(F.lit(name).alias("column_name"), "*") for name, df in named.items()]
-    return combine.union_all(parts).withColumn("bin_from", F.round("bin_from", 6))
+    values = {
+        "selling_price": (F.col("selling_price"), 50),
+        "other_discount_log": (numeric.log_discount(F.col("other_discount")), 50),
+        "quantity": (F.col("quantity"), 10),
+    }
+    return profile.histograms(data.transactions, values).withColumn("bin_from", F.round("bin_from", 6))
 
 
 @query
@@ -356,6 +356,17 @@ def q_sorted_distinct(data):
     return sets.sorted_distinct(data.train, "coupon_id")
 
 
+@query
+def q_campaign_levels(data):
+    """Campaigns offered, and how the offers and the campaigns spread over them and their types."""
+    offered = sets.sorted_distinct(data.train, "campaign_id").select(
+        F.lit("offered").alias("column_name"), F.col("campaign_id").cast("string").alias("level"), F.lit(1).cast("bigint").alias("n")
+    )
+    return combine.union_all(
+        [offered, profile.level_counts(data.train, ["campaign_id"]), profile.level_counts(data.campaigns, ["campaign_type"])]
+    )
+
+
 @query
 def q_topk_items(data):
     return combine.top_rows(profile.value_counts(data.transactions, "item_id"), ["n"], 15, ["item_id"])
@@ -756,6 +767,26 @@ def q_grid_search(table):
     return selection.grid_search(table.train, QUERY_PARAMS_B, grid, n_folds=QUERY_FOLDS)
 
 
+@model_query
+def q_random_search(table):
+    """Five points drawn from the grid of step, depth and share of predictors."""
+    grid = {"step": [0.05, 0.1], "depth": [3, 4], "feature_share": [0.8, 0.9, 1.0], "trees": [2]}
+    return selection.grid_search(table.train, QUERY_PARAMS_B, grid, draws=5, n_folds=QUERY_FOLDS)
+
+
+@model_query
+def q_holdout_classes(table):
+    """Confusion matrix of a fitted model on the rows it has not seen, summed up by true class."""
+    cells = modelling.holdout_report(table, QUERY_PARAMS_A).confusion
+    return cells.groupBy("label").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n"))
+
+
+@model_query
+def q_train_holdout_auc(table):
+    """AUC of a fitted model on the rows it was fitted on, beside that on the others."""
+    return modelling.train_and_holdout_auc(table, QUERY_PARAMS_A)
+
+
 @model_query
 def q_submission(table):
     mixed = modelling.blended_scores(table, QUERY_PARAMS_A, QUERY_PARAMS_B, QUERY_FOLDS, every=1)

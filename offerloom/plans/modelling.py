@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from offerloom.functions.numeric import blend, hard_class
 from offerloom.models import boosting, selection
 from offerloom.models.boosting import PARAMS_A, PARAMS_B, TreeParams
-from offerloom.operators.combine import TARGET, split_by_source, top_rows
+from offerloom.operators.combine import TARGET, split_by_source, top_rows, union_tagged
 from offerloom.operators.encode import label_encode
 from offerloom.operators.metrics import confusion_matrix, roc_auc
 from offerloom.operators.profile import correlations
@@ -102,6 +102,14 @@ def holdout_report(table: ModelTable, params: TreeParams = PARAMS_A) -> HoldoutR
     )
 
 
+def train_and_holdout_auc(table: ModelTable, params: TreeParams = PARAMS_A) -> DataFrame:
+    """AUC on the rows that a model was fitted on (source train) and on the others (holdout)."""
+    parts = dict(zip(("train", "holdout"), holdout(table.train)))
+    model = boosting.fit(parts["train"], params)
+    scored = {name: boosting.add_score(model, rows).select(TARGET, "score") for name, rows in parts.items()}
+    return roc_auc(union_tagged(scored), TARGET, "score", ["source"])
+
+
 def top_features(model: GBTClassificationModel, table: ModelTable, n: int = 15) -> DataFrame:
     return top_rows(boosting.importances(model, table.features, table.train), ["importance"], n, ["feature"])
 

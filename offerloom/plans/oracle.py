@@ -402,6 +402,11 @@ def _statements() -> dict[str, str]:
         ),
         "q_category_counts": "select category, count(*) as n from coupon_items where category is not null group by category",
         "q_sorted_distinct": "select distinct coupon_id from fx_train order by coupon_id",
+        "q_campaign_levels": _union(
+            ["select distinct 'offered' as column_name, cast(campaign_id as varchar) as level, cast(1 as bigint) as n from fx_train"]
+            + _level_counts("fx_train", ["campaign_id"])
+            + _level_counts("fx_campaign", ["campaign_type"])
+        ),
         "q_topk_items": """
             select item_id, count(*) as n from fx_trans group by item_id order by n desc, item_id limit 15""",
         "q_frequent_items": """
@@ -454,6 +459,9 @@ def _statements() -> dict[str, str]:
         "q_feature_table": _feature_table(),
         "q_holdout_split": f"""
             select id, case when {_hash('holdout')} < 1073741824 then 'val' else 'train' end as split from fx_train""",
+        "q_holdout_classes": f"""
+            select redemption_status as label, cast(2 as bigint) as n_cells, count(*) as n from fx_train
+            where {_hash('holdout')} < 1073741824 group by redemption_status""",
         "q_kfold": f"select id, {_hash('fold')} % 10 as fold from fx_train",
         "q_key_set_sizes": _union(
             [

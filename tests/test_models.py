@@ -39,6 +39,12 @@ def test_holdout_report_sees_the_signal(table):
     assert set(top) == {"a", "b"}
 
 
+def test_auc_on_seen_and_unseen_rows(table):
+    found = {r.source: r.auc for r in modelling.train_and_holdout_auc(table, SMALL_A).collect()}
+    assert set(found) == {"train", "holdout"} and found["train"] > 0.95
+    assert found["holdout"] == modelling.holdout_report(table, SMALL_A).auc.first().auc
+
+
 def test_first_trees_of_a_model_are_the_smaller_model(table):
     # Rows and predictors are sampled for each tree; the seed makes the samples the same.
     params = replace(SMALL_B, row_share=0.8)

@@ -174,6 +174,23 @@ def test_histogram_is_that_of_numpy(frame, bins):
     assert [e for _, e, _ in rows_of(got, "bin")] == pytest.approx(edges[:-1].tolist())
 
 
+def test_histograms_of_several_values_and_one_without_rows(frame):
+    rows = frame([(1.0, 5, None), (2.0, None, None), (9.0, 5, None)], "a double, b int, c double")
+    got = profile.histograms(rows, {"a": (F.col("a"), 2), "b": (F.col("b") * 2, 3), "c": (F.col("c"), 4)})
+    counts = {}
+    for r in got.orderBy("column_name", "bin").collect():
+        counts.setdefault(r.column_name, []).append(r.n)
+    assert counts == {"a": [2, 1], "b": [0, 2, 0]}
+
+
+def test_profile_in_one_pass(frame):
+    rows = [(1, "x", 1, 0.1), (1, "x", 2, 0.2), (1, "y", 2, None), (2, None, None, None), (None, "z", 1, 5.0)]
+    got = aggregate.profile_by_key(frame(rows, "k int, m string, q int, v double"), "k", ["m", "q"], ["v"])
+    assert sorted(map(tuple, got.collect())) == [(1, "x", 2, 0.15), (2, None, None, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
+
+
 def test_histogram_of_a_single_value_and_of_nothing(frame):
     got = profile.histogram(frame([(5.0,), (5.0,), (None,)], "v double"), F.col("v"), 4)
     assert [n for _, _, n in rows_of(got, "bin")] == np.histogram([5.0, 5.0], 4)[0].tolist()
