@@ -46,20 +46,41 @@ BASE_PREDICTORS = [
 OPTIONAL_DUMMIES = ["brand_type_est", "brand_type_loc", "Married", "rented_1", "campaign_x"]
 
 
-def with_absent_levels(encoded: DataFrame) -> DataFrame:
-    absent = [c for c in OPTIONAL_DUMMIES if c not in encoded.columns]
+# How many dummies each family of codes has.
+FAMILY_SIZES = {"categ_code": 10, "family_code": 4, "age_range_code": 5, "income_code": 11, "no_child_code": 3}
+STATED_DUMMIES = [f"{family}_{level}" for family, size in FAMILY_SIZES.items() for level in range(1, size + 1)]
+STATED_PREDICTORS = BASE_PREDICTORS + STATED_DUMMIES
+
+
+def _family_columns(encoded: DataFrame) -> list[str]:
+    """Dummies of the code families that the table has."""
+    return [
+        c for prefix in CODE_DUMMIES.values() for c in encoded.columns if c.startswith(f"{prefix}_") and c not in CODE_DUMMIES
+    ]
+
+
+def with_absent_levels(encoded: DataFrame, stated: bool = False) -> DataFrame:
+    """Add an all-zero column for each dummy whose level no row has; with ``stated``, for those of the code families too."""
+    wanted = OPTIONAL_DUMMIES + (STATED_DUMMIES if stated else [])
+    absent = [c for c in wanted if c not in encoded.columns]
     return encoded.withColumns({c: F.lit(0) for c in absent}) if absent else encoded
 
 
-def predictors(encoded: DataFrame) -> list[str]:
-    """Base predictors, then every dummy of each family that the table has; a missing base name is an error."""
-    missing = [c for c in BASE_PREDICTORS if c not in encoded.columns]
+def predictors(encoded: DataFrame, stated: bool = False) -> list[str]:
+    """Base predictors, then the dummies of each family; a missing name is an error.
+
+    By default these are the dummies that the table has. With ``stated`` they are the ``STATED_PREDICTORS``, always
+    the same 48, and a level beyond them is an error, as a model would not see it.
+    """
+    found = _family_columns(encoded)
+    names = STATED_PREDICTORS if stated else BASE_PREDICTORS + found
+    missing = [c for c in names if c not in encoded.columns]
     if missing:
         raise ValueError(f"the feature table lacks {', '.join(missing)}")
-    names = list(BASE_PREDICTORS)
-    for prefix in CODE_DUMMIES.values():
-        names += [c for c in encoded.columns if c.startswith(f"{prefix}_") and c not in CODE_DUMMIES]
-    return names
+    unknown = [c for c in found if c not in names]
+    if unknown:
+        raise ValueError(f"the feature table has levels that are no stated predictors: {', '.join(unknown)}")
+    return list(names)
 
 
 class ModelTable(NamedTuple):
@@ -68,12 +89,12 @@ class ModelTable(NamedTuple):
     features: list[str]
 
 
-def model_table(encoded: DataFrame) -> ModelTable:
-    """Assembled train and test rows, staged once; a brand given as text is coded."""
-    encoded = with_absent_levels(encoded)
+def model_table(encoded: DataFrame, stated: bool = False) -> ModelTable:
+    """Assembled train and test rows, staged once; a brand given as text is coded. ``stated``: see ``predictors``."""
+    encoded = with_absent_levels(encoded, stated)
     if dict(encoded.dtypes)["brand"] == "string":
         encoded = label_encode(encoded, {"brand": "_brand"}).drop("brand").withColumnRenamed("_brand", "brand")
-    features = predictors(encoded)
+    features = predictors(encoded, stated)
     rows = boosting.assemble(encoded, features, ["id", TARGET, "source"])
     split = split_by_source(stage(rows, "model_rows", ["source"]))
     return ModelTable(split.train, split.test, features)

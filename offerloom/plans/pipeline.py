@@ -26,9 +26,10 @@ def predict(
     n_folds: int = 10,
     patience: int = 100,
     every: int = 10,
+    stated: bool = False,
 ) -> modelling.Blend:
-    """Fit and blend both models and write the submission."""
-    table = modelling.model_table(encoded)
+    """Fit and blend both models and write the submission. ``stated``: see ``modelling.predictors``."""
+    table = modelling.model_table(encoded, stated)
     blend = modelling.blended_scores(table, params_a, params_b, n_folds, patience, every)
     modelling.write_submission(modelling.submission(template, blend.scores, "score"), path)
     return blend
