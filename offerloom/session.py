@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -57,12 +58,15 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the Python workers, once per application."""
+    """Send the package to the Python workers, once per application; threads of side-by-side jobs wait for each other."""
     app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
+    with _SHIPPING:
+        if app in _SHIPPED:
+            return
         package = os.path.dirname(os.path.abspath(__file__))
         target = os.path.join(tempfile.mkdtemp(prefix="offerloom-py-"), "offerloom_core")
         archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
