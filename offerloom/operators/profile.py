@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.operators.ordered import as_doubles, bracketed_quantiles, quantile_brackets
+from offerloom.sources.tables import discard, stage
 
 
 def _tagged(tables: Mapping[str, DataFrame], report) -> DataFrame:
@@ -96,10 +97,11 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
     quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     measures = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    numeric = as_doubles(df, columns)
+    numeric = stage(as_doubles(df, columns), "numbers")  # each round of the quantiles reads them again
     moments = [f(c).alias(f"{c}|{name}") for c in columns for name, f in measures.items()]
     first = quantile_brackets(numeric, columns, quartiles, moments)
     found = {r[0]: r[1:] for r in bracketed_quantiles(numeric, first, columns, quartiles)}
+    discard(numeric)
     rows = []
     for c in columns:
         n, mean, std, low, high = (first[f"{c}|{name}"] for name in measures)
