@@ -31,7 +31,7 @@ from offerloom.models.selection import POINTS, History, Judged, best_by_patience
 from offerloom.operators.combine import TARGET
 from offerloom.operators.splits import SEED, fold_rows, is_holdout
 from offerloom.session import ensure_checkpoint_folder, shared_folder
-from offerloom.sources.tables import discard, is_written, side_by_side, stage
+from offerloom.sources.tables import discard, is_written, side_by_side, stage_for_fits
 
 #: ``gamma`` is on the scale of half the squared sum of gradients over their rows, the loss reduction of a Newton step
 #: with second derivatives of 1. Residuals are four times the gradient of the log loss, so the
@@ -96,7 +96,7 @@ def fit_block(rows: DataFrame, before: Forest, params: TreeParams, trees: int, t
     ensure_checkpoint_folder(rows.sparkSession)
     labelled = boosting.with_label(rows, params, target)
     labelled = labelled.select("features", "weight", (2.0 * F.col("label") - 1.0).alias("y"))
-    state = stage(forest.add_margin(before, labelled), "margins")
+    state = stage_for_fits(forest.add_margin(before, labelled), "margins")
     made: list[Forest] = []
     for number in range(before.trees, before.trees + trees):
         now = state
