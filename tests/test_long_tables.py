@@ -1,10 +1,11 @@
-"""Steps that keep all groups of a task in memory get tasks of a bounded number of rows."""
+"""Steps that keep all groups of a task in memory get tasks of a bounded number of rows; encoders stage what they read."""
 
 import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from offerloom.plans import catalog, prepare
 from offerloom.sources import campaign
 from offerloom.sources.tables import deal_long
 
@@ -49,3 +50,11 @@ def test_star_tables_hold_the_same_rows_when_dealt_out(spark, star, monkeypatch)
         left, right = getattr(plain, name), getattr(dealt, name)
         assert right.rdd.getNumPartitions() == 45
         assert sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
+
+
+def test_encoders_stage_the_columns_they_read(spark, star, monkeypatch):
+    staged = []
+    monkeypatch.setattr(catalog, "stage", lambda df, *a: staged.append(df.columns) or df)
+    catalog.QUERIES["q_onehot_full"](spark, star)
+    catalog.QUERIES["q_label_encode"](spark, star)
+    assert staged == [["id", *prepare.ONE_HOT], ["id", *prepare.CODES]]
