@@ -180,6 +180,10 @@ class Vocabulary:
         """Number of tokens, ids as text, and the bytes that the ids decode to."""
         return len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Let go of the remembered pieces."""
+        self._known.clear()
+
     def learn(self, pieces: set[str]) -> None:
         """Merge the pieces that are not remembered and are short."""
         short: dict[int, list[tuple[str, bytes]]] = {}
@@ -247,7 +251,8 @@ def vocabulary(path: str) -> Vocabulary:
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """All columns of the rows, with token ids in place of the text."""
     rows = documents.withColumn("text", text_column())
-    return map_texts(rows, lambda texts: {"ids": vocabulary(path).encode(texts)}, "ids array<int>")
+    ids = lambda texts: {"ids": vocabulary(path).encode(texts)}
+    return map_texts(rows, ids, "ids array<int>", at_end=lambda: vocabulary(path).forget())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -266,4 +271,5 @@ def round_trip_digests(documents: DataFrame, path: str) -> DataFrame:
         return dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(list, zip(*made))))
 
     rows = documents.select("doc_id", text_column().alias("text"))
-    return map_texts(rows, digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_texts(rows, digests, added, at_end=lambda: vocabulary(path).forget())

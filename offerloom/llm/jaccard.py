@@ -70,20 +70,22 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def _describe(texts: list[str]) -> dict:
-    """Set id, size and min-hashes per text; with the first text, tokens that several texts here have."""
+    """Set id, size and min-hashes per text; dealt out over the texts, tokens that several texts here have.
+
+    In a single row, the tokens of many long texts would be several large objects in an executor at once.
+    """
     sets = [shingles(t) for t in texts]
     lows = [
         [int((mix(s ^ seed)).min().view(np.int64)) for seed in _SEEDS] if len(s) else None for s in sets
     ]
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
     often = counts >= 2
-    nothing = [[]] * (len(texts) - 1)
     return {
         "sid": [_set_id(s) if len(s) else None for s in sets],
         "n": [len(s) for s in sets],
         "lows": lows,
-        "often": [values[often].view(np.int64).tolist(), *nothing],
-        "times": [counts[often].tolist(), *nothing],
+        "often": np.array_split(values[often].view(np.int64), len(texts)),
+        "times": np.array_split(counts[often], len(texts)),
     }
 
 
