@@ -33,3 +33,9 @@ def test_pieces_are_forgotten():
     assert known._known
     known.forget()
     assert not known._known and list(known.digests(["some words of a text"])) == first
+
+
+def test_a_worker_gets_few_texts_at_a_time(spark):
+    frame = spark.range(3000, numPartitions=1).selectExpr("id", "cast(id as string) as text")
+    found = map_texts(frame, lambda texts: {"n": [len(texts)] * len(texts)}, "n bigint", at_once=1 << 20)
+    assert found.agg({"n": "max"}).first()[0] <= 512
