@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from dataclasses import replace
+from dataclasses import asdict, replace
 from functools import partial
 from typing import NamedTuple
 
@@ -24,7 +24,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.models import boosting, forest
+from offerloom.models import boosting, forest, histograms
 from offerloom.models.boosting import TreeParams
 from offerloom.models.forest import Forest
 from offerloom.models.selection import POINTS, History, Judged, best_by_patience, into_folds, judge
@@ -95,6 +95,9 @@ def fit_block(rows: DataFrame, before: Forest, params: TreeParams, trees: int, t
     """``trees`` more trees behind those of ``before``."""
     ensure_checkpoint_folder(rows.sparkSession)
     labelled = boosting.with_label(rows, params, target)
+    if rows.count() > histograms.ROWS_IN_TASK:
+        plain = asdict(replace(params, trees=trees, gamma=params.gamma * GAIN_SCALE))
+        return histograms.fit_in_passes(labelled, plain, before)
     labelled = labelled.select("features", "weight", (2.0 * F.col("label") - 1.0).alias("y"))
     state = stage_for_fits(forest.add_margin(before, labelled), "margins")
     made: list[Forest] = []
