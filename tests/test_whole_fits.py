@@ -40,3 +40,8 @@ def test_cv_tree_count_goes_through_all_trees(table, fitted):
     found = catalog.q_cv_tree_count(table).collect()
     assert [r.n_trees for r in found] == list(range(1, 1001)) and {r.n_folds for r in found} == {10}
     assert fitted == [PARAMS_A] * 10
+
+
+def test_fold_auc_has_ten_folds(table, fitted):
+    assert sorted(r.fold for r in catalog.q_fold_auc(table).collect()) == list(range(10))
+    assert fitted == [PARAMS_B] * 10
