@@ -45,3 +45,7 @@ def test_cv_tree_count_goes_through_all_trees(table, fitted):
 def test_fold_auc_has_ten_folds(table, fitted):
     assert sorted(r.fold for r in catalog.q_fold_auc(table).collect()) == list(range(10))
     assert fitted == [PARAMS_B] * 10
+
+
+def test_scores_of_model_a(table, fitted):
+    assert catalog.q_gbt_scores_a(table).count() == 100 and fitted == [PARAMS_A]
