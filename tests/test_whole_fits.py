@@ -49,3 +49,7 @@ def test_fold_auc_has_ten_folds(table, fitted):
 
 def test_scores_of_model_a(table, fitted):
     assert catalog.q_gbt_scores_a(table).count() == 100 and fitted == [PARAMS_A]
+
+
+def test_scores_of_model_b(table, fitted):
+    assert catalog.q_gbt_scores_b(table).count() == 100 and fitted == [PARAMS_B]
