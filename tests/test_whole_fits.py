@@ -53,3 +53,7 @@ def test_scores_of_model_a(table, fitted):
 
 def test_scores_of_model_b(table, fitted):
     assert catalog.q_gbt_scores_b(table).count() == 100 and fitted == [PARAMS_B]
+
+
+def test_holdout_auc_is_that_of_all_trees(table, fitted):
+    assert catalog.q_holdout_auc(table).count() == 1 and fitted == [PARAMS_A]
