@@ -57,3 +57,9 @@ def test_scores_of_model_b(table, fitted):
 
 def test_holdout_auc_is_that_of_all_trees(table, fitted):
     assert catalog.q_holdout_auc(table).count() == 1 and fitted == [PARAMS_A]
+
+
+def test_held_out_scores_come_from_ten_folds(table, fitted):
+    found = catalog.q_oof_scores(table).collect()
+    assert len({r.id for r in found}) == len(found) == 300 and {r.fold for r in found} == set(range(10))
+    assert fitted == [PARAMS_B] * 10
