@@ -63,3 +63,9 @@ def test_held_out_scores_come_from_ten_folds(table, fitted):
     found = catalog.q_oof_scores(table).collect()
     assert len({r.id for r in found}) == len(found) == 300 and {r.fold for r in found} == set(range(10))
     assert fitted == [PARAMS_B] * 10
+
+
+def test_blended_scores_come_from_whole_models(table, fitted):
+    assert catalog.q_score_corr(table).count() == 4
+    assert fitted[:10] == [PARAMS_A] * 10 and fitted[11:] == [PARAMS_B] * 10
+    assert replace(fitted[10], trees=1000) == PARAMS_A
