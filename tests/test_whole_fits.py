@@ -69,3 +69,7 @@ def test_blended_scores_come_from_whole_models(table, fitted):
     assert catalog.q_score_corr(table).count() == 4
     assert fitted[:10] == [PARAMS_A] * 10 and fitted[11:] == [PARAMS_B] * 10
     assert replace(fitted[10], trees=1000) == PARAMS_A
+
+
+def test_top_features_are_those_of_all_trees(table, fitted):
+    assert catalog.q_top_features(table).first().feature == "a" and fitted == [PARAMS_A]
