@@ -73,3 +73,8 @@ def test_blended_scores_come_from_whole_models(table, fitted):
 
 def test_top_features_are_those_of_all_trees(table, fitted):
     assert catalog.q_top_features(table).first().feature == "a" and fitted == [PARAMS_A]
+
+
+def test_train_and_holdout_auc_are_those_of_all_trees(table, fitted):
+    assert {r.source for r in catalog.q_train_holdout_auc(table).collect()} == {"train", "holdout"}
+    assert fitted == [PARAMS_A]
