@@ -84,13 +84,46 @@ def test_long_tables_are_fitted_in_passes(rows, tmp_path, monkeypatch):
     by_spark = boosting.flat(boosting.fit(rows, few), rows)
     blocks = rounds.fit_rounds(rows, replace(few, depth=6, leaves=6, gamma=0.2), every=2, store=str(tmp_path / "a")).forest
     monkeypatch.setattr(histograms, "ROWS_IN_TASK", 1000)
-    monkeypatch.setattr(histograms, "TREES_PER_STAGE", 1)
+    monkeypatch.setattr(histograms, "CHUNK_ROWS", 100)
     monkeypatch.setattr(boosting, "classifier", None)
     assert apart(rows, by_spark, boosting.fit(rows, few)) < 1e-9
     again = rounds.fit_rounds(rows, replace(few, depth=6, leaves=6, gamma=0.2), every=2, store=str(tmp_path / "b")).forest
     assert again.leaves() == blocks.leaves() and max(again.leaves()) <= 6 and apart(rows, blocks, again) < 1e-9
 
 
+def test_folds_of_long_tables_share_their_codes(rows, monkeypatch):
+    params = replace(PLAIN, trees=2, depth=3)
+    grid = {"step": [0.1, 0.3], "trees": [1, 2]}
+
+    def found():
+        folded = selection.into_folds(rows, 3)
+        scores = selection.held_out_scores(folded, selection.fit_folds(folded, params, 3, every=1))
+        points = selection.cv_tree_count(rows, params, 3).table.collect() + selection.grid_search(rows, params, grid, n_folds=3).collect()
+        return {r.id: r.score for r in scores.collect()}, points
+
+    by_spark, points = found()
+    monkeypatch.setattr(histograms, "ROWS_IN_TASK", 400)
+    monkeypatch.setattr(boosting, "classifier", None)
+    made, again = found()
+    assert made.keys() == by_spark.keys() and len(made) == 1500
+    # borders of bins are those of all folds here, so a few rows beside a border fall to the other side
+    assert np.mean([abs(made[i] - by_spark[i]) < 0.1 for i in made]) > 0.95
+    assert [p.n_folds for p in again[:2]] == [3, 3] and len(again) == len(points) == 6
+    assert [p.auc_mean for p in again[:2]] == pytest.approx([p.auc_mean for p in points[:2]], abs=0.02)
+
+
+def test_chunks_are_handed_over_a_few_at_a_time(spark, rows, monkeypatch):
+    monkeypatch.setattr(histograms, "CHUNK_ROWS", 20)
+    labelled = boosting.with_label(rows, PLAIN).withColumn("side", F.col("id") % 2)
+    coded = histograms.coded_once(labelled.coalesce(1), ["side"])
+    batches = coded.filter(F.col("side") == 1).chunks.mapInArrow(lambda parts: (p.select(["side"]) for p in parts), "side bigint")
+    assert {r.side for r in batches.collect()} == {1}
+    sizes = coded.chunks.mapInArrow(lambda parts: (p.slice(0, 1).select(["side"]) for p in parts), "side bigint").count()
+    assert coded.chunks.count() >= 2 and sizes >= coded.chunks.count() / histograms.CHUNKS_AT_ONCE
+    rows_held = sum(len(r.positive) for r in coded.chunks.collect())
+    assert rows_held == 1500 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_many_trees_take_no_job_per_tree(spark, rows, monkeypatch):
     monkeypatch.setattr(boosting, "classifier", None)
     params = replace(PLAIN, trees=40, step=0.1)
